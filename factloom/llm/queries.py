@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from factloom.llm.exact_dedup import exact_dedup
+from factloom.llm.token_ids import read_token_ids, write_token_ids
 from factloom.llm.url_filter import url_verdicts
 from factloom.session import table
 
 QUERIES, ORACLES = {}, {}
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -55,3 +63,8 @@ fit AS (
   FROM parsed)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM fit"""
+
+
+@query
+def op3_token_ids(spark, sf_dir):
+    return read_token_ids(*write_token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
