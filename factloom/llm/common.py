@@ -86,13 +86,13 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id", rounds: i
     minimum, so no component ever meets in one task, and a round's edges are written before the next.
     """
     e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    last = None
+    mark = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    state = mark(e)
     for _ in range(rounds):
         e = written(_small_star(_large_star(e)), "edges")
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        last, state = state, mark(e)
         if state == last:
             break
-        last = state
     roots = e.groupBy(F.col("b").alias(id_col)).agg(F.min("a").alias("component"))
     return nodes.select(id_col).join(roots, id_col, "left").select(id_col, F.coalesce("component", id_col).alias("component"))
 

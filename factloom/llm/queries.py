@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factloom.llm.exact_dedup import exact_dedup
+from factloom.llm.minhash import near_duplicates
 from factloom.llm.token_ids import read_token_ids, write_token_ids
 from factloom.llm.url_filter import url_verdicts
 from factloom.session import table
@@ -68,3 +69,8 @@ SELECT page_id, host, path, rule,
 @query
 def op3_token_ids(spark, sf_dir):
     return read_token_ids(*write_token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+@query
+def op4_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
