@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from factloom.llm.exact_dedup import exact_dedup
+from factloom.llm.language_id import identify_language
 from factloom.llm.minhash import near_duplicates
+from factloom.llm.quality import quality_scores
 from factloom.llm.token_ids import read_token_ids, write_token_ids
 from factloom.llm.url_filter import url_verdicts
 from factloom.session import table
@@ -74,3 +76,13 @@ def op3_token_ids(spark, sf_dir):
 @query
 def op4_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    return identify_language(table(spark, sf_dir, "documents"))
