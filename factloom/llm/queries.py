@@ -5,6 +5,7 @@ from __future__ import annotations
 from factloom.llm.exact_dedup import exact_dedup
 from factloom.llm.language_id import identify_language
 from factloom.llm.minhash import near_duplicates
+from factloom.llm.mixing import mix
 from factloom.llm.quality import quality_scores
 from factloom.llm.token_ids import read_token_ids, write_token_ids
 from factloom.llm.url_filter import url_verdicts
@@ -86,3 +87,37 @@ def op5_quality_classifier(spark, sf_dir):
 @query
 def op7_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def _mix_sql(docs: str = "documents", rounds: int = 24, flatten: float = 0.7) -> str:
+    """The raking unrolled: one subquery a round and marginal."""
+    steps = [
+        f"""rows_ AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+          CASE WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9._]+@[A-Za-z0-9]+\\.|\\+[0-9]{{1,3}} \\(|(password|token|key) ?[=:]') THEN 'contact'
+               WHEN length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 >= 4
+                AND length(coalesce(text, '')) < 120 * (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) THEN 'listing'
+               WHEN length(coalesce(text, '')) < 400 THEN 'note' ELSE 'prose' END AS topic,
+          greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')))::BIGINT AS n_tokens FROM {docs})""",
+        "cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE AS weight FROM rows_ GROUP BY ALL)",
+    ]
+    for m in ("source", "lang", "topic"):
+        steps.append(f"share_{m} AS (SELECT {m}, pow(sum(tokens)::DOUBLE, {flatten}) / sum(pow(sum(tokens)::DOUBLE, {flatten})) OVER () AS want FROM cells GROUP BY {m})")
+    last, i = "cells", 0
+    for _ in range(rounds):
+        for m in ("source", "lang", "topic"):
+            i += 1
+            steps.append(f"r{i} AS MATERIALIZED (SELECT c.* EXCLUDE (weight), c.weight * s.want / sum(c.weight) OVER (PARTITION BY c.{m}) AS weight FROM {last} c JOIN share_{m} s USING ({m}))")
+            last = f"r{i}"
+    steps.append(f"chance AS (SELECT source, lang, topic, least(1.0, weight / tokens / max(weight / tokens) OVER ()) AS probability FROM {last})")
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, nullif(source, '') AS source, nullif(lang, '') AS lang, topic, n_tokens, probability,
+       ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < probability AS selected
+FROM rows_ JOIN chance USING (source, lang, topic)"""
+
+
+ORACLES["op10_mixing"] = _mix_sql()
