@@ -7,6 +7,7 @@ from factloom.llm.language_id import identify_language
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import mix
 from factloom.llm.quality import quality_scores
+from factloom.llm.sentencepiece_scan import encode_and_check
 from factloom.llm.token_ids import read_token_ids, write_token_ids
 from factloom.llm.url_filter import url_verdicts
 from factloom.session import table
@@ -89,6 +90,11 @@ def op7_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_sentencepiece(spark, sf_dir):
+    return encode_and_check(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
