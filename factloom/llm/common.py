@@ -40,22 +40,28 @@ def text_of(name: str = "text") -> Column:
 
 
 class KeyFilter:
-    """A Bloom filter of fixed size over a key column, built by a distributed bit_or and held as one bounded array.
+    """A Bloom filter of bounded size over a key column, built by a distributed bit_or and held as one array.
 
-    It only prunes: what it passes is always confirmed by an exact join.
+    It only prunes: what it passes is always confirmed by an exact join or count. With `hashed` the key is
+    itself a mixed 64-bit hash whose bits serve as probes, so that numpy code can probe it as well.
     """
 
     PROBES = 2
 
-    def __init__(self, keys: DataFrame, key: str, bits: int = FILTER_BITS):
-        self.bits, spark = bits, keys.sparkSession
-        probes = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col(key)), F.lit(bits)) for i in range(self.PROBES)]))
+    def __init__(self, keys: DataFrame, key: str, bits: int = FILTER_BITS, hashed: bool = False):
+        self.bits, self.hashed, spark = bits, hashed, keys.sparkSession
+        probes = F.explode(F.array(*[self._at(F.col(key), i) for i in range(self.PROBES)]))
         words = keys.select(probes.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
         table = np.zeros(bits // 64, dtype=np.int64)
         got = words.toPandas()  # at most bits / 64 rows, whatever the input
         table[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64)
         self.held = spark.sparkContext.broadcast(table)
 
+    def _at(self, key: Column, i: int) -> Column:
+        if self.hashed:
+            return F.shiftrightunsigned(key, 31 * i).bitwiseAND(F.lit(self.bits - 1))
+        return F.pmod(F.xxhash64(F.lit(i), key), F.lit(self.bits))
+
     def may_contain(self, key: Column) -> Column:
         held = self.held
 
@@ -67,7 +73,23 @@ class KeyFilter:
         def probe(first: pd.Series, second: pd.Series) -> pd.Series:
             return pd.Series(held_at(first) & held_at(second))
 
-        return probe(*[F.pmod(F.xxhash64(F.lit(i), key), F.lit(self.bits)) for i in range(self.PROBES)])
+        return probe(*[self._at(key, i) for i in range(self.PROBES)])
+
+    def prober(self):
+        """A picklable test of an array of hashes, for a `hashed` filter."""
+        return HashProbe(self.held, self.bits)
+
+
+class HashProbe:
+    def __init__(self, held, bits: int):
+        self.held, self.mask = held, np.uint64(bits - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), dtype=bool)
+        for i in range(KeyFilter.PROBES):
+            at = ((keys >> np.uint64(31 * i)) & self.mask).astype(np.int64)
+            out &= ((self.held.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+        return out
 
 
 def without_keys(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import mix
 from factloom.llm.quality import quality_scores
 from factloom.llm.sentencepiece_scan import encode_and_check
+from factloom.llm.suffix_dedup import remove_repeats
 from factloom.llm.token_ids import read_token_ids, write_token_ids
 from factloom.llm.url_filter import url_verdicts
 from factloom.session import table
@@ -85,6 +86,11 @@ def op5_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op7_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
