@@ -6,6 +6,7 @@ from factloom.llm.exact_dedup import exact_dedup
 from factloom.llm.language_id import identify_language
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import mix
+from factloom.llm.nn_descent import near_vectors
 from factloom.llm.quality import quality_scores
 from factloom.llm.sentencepiece_scan import encode_and_check
 from factloom.llm.suffix_dedup import remove_repeats
@@ -101,6 +102,11 @@ def op8_sentencepiece(spark, sf_dir):
     return encode_and_check(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op9_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
