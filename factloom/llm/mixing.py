@@ -1,10 +1,11 @@
 """Mixing documents to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Documents are first summed into cells (source, language, topic) with their tokens. Raking then scales the
-cells' weights to each target marginal in turn until all agree; the cell table is as large as the distinct
-triples, never as the documents. A document's probability is its cell's raked weight over its actual tokens,
-scaled so that the largest is 1, and it is drawn by comparing that with a uniform number read off a hash of
-its id, so a rerun after a lost executor draws the same documents.
+cells' weights to each target marginal of the token budget in turn, and trims a cell to the tokens it has after
+each round, until all agree; the cell table is as large as the distinct triples, never as the documents. A
+document's probability is its cell's raked weight over its actual tokens, so at most 1, and it is drawn by
+comparing that with a uniform number read off a hash of its id, so a rerun after a lost executor draws the same
+documents. No document is drawn twice; a marginal is met as far as its cells have the tokens.
 
 A target gives the wanted share of each value of a marginal. Values that a target leaves out keep their own
 share of what it leaves; without a target, shares are the corpus's own, raised to `flatten` and renormed (1
@@ -27,6 +28,8 @@ from factloom.llm.common import written
 MARGINALS = ("source", "lang", "topic")
 ROUNDS = 24
 ROUNDS_A_PASS = 8
+#: The share of all tokens that the mix keeps.
+BUDGET = 0.75
 #: Cells up to here are raked in one task, without shuffles; beyond, each marginal is dealt by its value.
 ONE_TASK_CELLS = 100_000
 
@@ -62,9 +65,9 @@ def _shares(cells: DataFrame, name: str, target: Mapping[str, float] | None, fla
     return F.pow(own.cast("double"), F.lit(flatten))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, flatten: float = 0.7, rounds: int = ROUNDS) -> DataFrame:
-    """The cells with `weight`: their share of the mix, so that every marginal has its wanted shares."""
-    targets = targets or {}
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, flatten: float = 0.7, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+    """The cells with `weight`: their tokens in the mix, so that every marginal has its wanted shares of the budget."""
+    targets, every = targets or {}, Window.partitionBy(F.lit(0))
     one_task = cells.count() <= ONE_TASK_CELLS
     at = cells.repartition(1) if one_task else cells
     for name in MARGINALS:
@@ -73,7 +76,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         # the shares of a marginal sum to 1 over its values: each value's share counts once
         first = F.row_number().over(Window.partitionBy(name).orderBy(*MARGINALS)) == 1
         at = at.withColumn("once", F.when(first, F.col(f"want_{name}")))
-        at = at.withColumn(f"want_{name}", F.col(f"want_{name}") / F.sum("once").over(Window.partitionBy(F.lit(0)))).drop("once")
+        at = at.withColumn(f"want_{name}", F.col(f"want_{name}") / F.sum("once").over(every) * F.lit(budget) * F.sum("tokens").over(every)).drop("once")
     at = written(at.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for start in range(0, rounds, ROUNDS_A_PASS):
         at = at.coalesce(1) if one_task else at
@@ -81,11 +84,12 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             for name in MARGINALS:
                 now = F.sum("weight").over(Window.partitionBy(name))
                 at = at.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"want_{name}") / now).otherwise(F.lit(0.0)))
+            at = at.withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
         at = written(at, "raked")
     return at
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, flatten: float = 0.7, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, flatten: float = 0.7, rounds: int = ROUNDS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: str = "mix") -> DataFrame:
     """id, source, lang, topic, n_tokens, probability and selected of every document."""
     rows = docs.select(
         F.col(id_col),
@@ -96,9 +100,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     )
     rows = written(rows, "rows")
     cells = written(rows.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets, flatten, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    most = raked.agg(F.max("ratio")).first()[0] or 1.0
-    chance = raked.select(*MARGINALS, F.least(F.lit(1.0), F.col("ratio") / F.lit(most)).alias("probability"))
+    raked = rake(cells, targets, flatten, rounds, budget)
+    chance = raked.select(*MARGINALS, (F.col("weight") / F.col("tokens")).alias("probability"))
     joined = rows.join(chance, list(MARGINALS), "left")
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     return joined.select(

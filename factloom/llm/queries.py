@@ -112,7 +112,7 @@ def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
-def _mix_sql(docs: str = "documents", rounds: int = 24, flatten: float = 0.7) -> str:
+def _mix_sql(docs: str = "documents", rounds: int = 24, flatten: float = 0.7, budget: float = 0.75) -> str:
     """The raking unrolled: one subquery a round and marginal."""
     steps = [
         f"""rows_ AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
@@ -124,14 +124,16 @@ def _mix_sql(docs: str = "documents", rounds: int = 24, flatten: float = 0.7) ->
         "cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE AS weight FROM rows_ GROUP BY ALL)",
     ]
     for m in ("source", "lang", "topic"):
-        steps.append(f"share_{m} AS (SELECT {m}, pow(sum(tokens)::DOUBLE, {flatten}) / sum(pow(sum(tokens)::DOUBLE, {flatten})) OVER () AS want FROM cells GROUP BY {m})")
+        steps.append(f"share_{m} AS (SELECT {m}, pow(sum(tokens)::DOUBLE, {flatten}) / sum(pow(sum(tokens)::DOUBLE, {flatten})) OVER () * {budget} * (SELECT sum(tokens) FROM cells) AS want FROM cells GROUP BY {m})")
     last, i = "cells", 0
     for _ in range(rounds):
         for m in ("source", "lang", "topic"):
             i += 1
-            steps.append(f"r{i} AS MATERIALIZED (SELECT c.* EXCLUDE (weight), c.weight * s.want / sum(c.weight) OVER (PARTITION BY c.{m}) AS weight FROM {last} c JOIN share_{m} s USING ({m}))")
+            weight = f"c.weight * s.want / sum(c.weight) OVER (PARTITION BY c.{m})"
+            weight = f"least({weight}, c.tokens::DOUBLE)" if m == "topic" else weight
+            steps.append(f"r{i} AS MATERIALIZED (SELECT c.* EXCLUDE (weight), {weight} AS weight FROM {last} c JOIN share_{m} s USING ({m}))")
             last = f"r{i}"
-    steps.append(f"chance AS (SELECT source, lang, topic, least(1.0, weight / tokens / max(weight / tokens) OVER ()) AS probability FROM {last})")
+    steps.append(f"chance AS (SELECT source, lang, topic, weight / tokens AS probability FROM {last})")
     return "WITH " + ",\n".join(steps) + """
 SELECT doc_id, nullif(source, '') AS source, nullif(lang, '') AS lang, topic, n_tokens, probability,
        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < probability AS selected
