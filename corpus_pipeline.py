@@ -1,13 +1,59 @@
-"""A training-data pipeline: each stage reads the documents that the one before it wrote."""
+"""A training-data pipeline over `documents`: each stage reads the documents that the one before it wrote.
+
+Decisions are made by doc_id: rows that share an id share them. Rows of a null id are scored and linked with
+nothing, and stay. Extra columns of documents pass through every stage but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.common import fresh_dir
+from factloom.llm.common import fresh_dir, without_keys
+from factloom.llm.exact_dedup import exact_dedup
+from factloom.llm.minhash import near_duplicates
+from factloom.llm.mixing import mix
+from factloom.llm.quality import quality_scores
+from factloom.llm.queries import vocabulary
+from factloom.llm.sentencepiece_scan import encode_and_check
 from factloom.session import table
 
-STAGES: list = []
+
+def _rejected(decisions: DataFrame, condition: str) -> DataFrame:
+    return decisions.filter(condition).select("doc_id").filter("doc_id is not null").distinct()
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score at least 0.7)."""
+    return without_keys(docs, _rejected(quality_scores(docs, table(spark, sf_dir, "labels")), "predicted = 0"), "doc_id")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of equal texts."""
+    return without_keys(docs, _rejected(exact_dedup(docs), "not kept"), "doc_id")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    return without_keys(docs, _rejected(near_duplicates(docs, k=5, percent=80), "not kept"), "doc_id")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics meet their flattened shares."""
+    return without_keys(docs, _rejected(mix(docs), "not selected"), "doc_id")
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The SentencePiece ids of every document, their digest, and whether decoding gave the text back."""
+    return encode_and_check(docs, vocabulary("piece_bpe_32k.model"), keep_ids=True)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact", exact_stage),
+    ("near", near_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
 ORACLE_SQL: str | None = None
 
 

@@ -396,7 +396,7 @@ def encode(docs: DataFrame, model: str, giant_chars: int = GIANT_CHARS, chunk_ch
     return small.unionByName(giant.select("uid", "id", "text_crc32").join(whole, "uid").select("id", "ids", "text_crc32")).withColumnRenamed("id", id_col)
 
 
-def _decoded(path: str, kept: int):
+def _decoded(path: str):
     def run(batches):
         v = vocabulary_of(path)
         for b in batches:
@@ -412,14 +412,15 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """Every other column and `decoded`, the text of the ids."""
     rest = [f for f in encoded.schema.fields if f.name != ids_col]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["decoded string"])
-    return encoded.select(ids_col, *[f.name for f in rest]).mapInArrow(_decoded(model, len(rest)), schema)
+    return encoded.select(ids_col, *[f.name for f in rest]).mapInArrow(_decoded(model), schema)
 
 
-def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip (decoding gives the text back)."""
+def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text back) and, if asked for, the ids."""
     width = vocabulary_of(model).dtype.itemsize
     ids = encode(docs, model, id_col=id_col, text_col=text_col)
     wide = F.col("ids") if width == 4 else F.unhex(F.regexp_replace(F.hex("ids"), "(.{4})", "$10000"))
-    sized = ids.select(id_col, "ids", "text_crc32", F.crc32(wide).alias("ids_crc32"), (F.length("ids") / width).cast("long").alias("n_ids"))
+    kept = [F.col("ids").alias("kept_ids")] if keep_ids else []
+    sized = ids.select(id_col, "ids", *kept, "text_crc32", F.crc32(wide).alias("ids_crc32"), (F.length("ids") / width).cast("long").alias("n_ids"))
     back = decode(sized, model)
-    return back.select(id_col, "n_ids", "ids_crc32", (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))
+    return back.select(id_col, "n_ids", "ids_crc32", (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"), *([F.col("kept_ids").alias("ids")] if keep_ids else []))
