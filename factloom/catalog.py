@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans.table_queries import ORACLES as _plan_oracles
-from factloom.plans.table_queries import QUERIES as _plan_queries
+MODULES = (
+    "factloom.plans.table_queries",
+    "factloom.operators.tabular_queries",
+)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**_plan_queries}
-ORACLES: dict[str, str] = {**_plan_oracles}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+for _name in MODULES:
+    _module = import_module(_name)
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
