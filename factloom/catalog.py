@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "factloom.plans.table_queries",
     "factloom.operators.tabular_queries",
+    "factloom.operators.document_queries",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -54,20 +54,19 @@ def verification_form(c: Column) -> Column:
     return F.regexp_replace(out, r"\blakhs?\b|\bl\b", "lakh")
 
 
-def find_quote(page: Column, quote: Column) -> Column:
-    """STRUCT(matched, exact, tier, start, stop): verbatim, then canonical, then verification form; indexes from 0, -1 for none."""
-    at0, at1, at2 = F.instr(page, quote), F.instr(canonical(page), canonical(quote)), F.instr(verification_form(page), verification_form(quote))
+def find_quote(page: Column, quote: Column, forms: tuple[Column, Column, Column, Column] | None = None) -> Column:
+    """STRUCT(matched, exact, tier, start, stop): verbatim, then canonical, then verification form; indexes from 0, -1 for none.
+
+    `forms` are the canonical page and quote and their verification forms, where the caller has them as columns.
+    """
+    cp, cq, vp, vq = forms or (canonical(page), canonical(quote), verification_form(page), verification_form(quote))
     filled = (F.length(F.coalesce(page, F.lit(""))) > 0) & (F.length(F.coalesce(quote, F.lit(""))) > 0)
-    tier = F.when(filled & (at0 > 0), "exact").when(filled & (at1 > 0), "canonical").when(filled & (at2 > 0), "verification")
-    start = F.when(tier == "exact", at0 - 1).when(tier == "canonical", at1 - 1).when(tier == "verification", at2 - 1).otherwise(-1)
-    size = F.when(tier == "exact", F.length(quote)).when(tier == "canonical", F.length(canonical(quote))).otherwise(F.length(verification_form(quote)))
-    return F.struct(
-        tier.isNotNull().alias("matched"),
-        F.coalesce(tier == "exact", F.lit(False)).alias("exact"),
-        tier.alias("tier"),
-        start.cast("int").alias("start"),
-        F.when(tier.isNotNull(), start + size).otherwise(-1).cast("int").alias("stop"),
-    )
+    found = [
+        F.when(filled & (F.instr(p, q) > 0), F.struct(F.lit(True).alias("matched"), F.lit(name == "exact").alias("exact"), F.lit(name).alias("tier"), (F.instr(p, q) - 1).alias("start"), (F.instr(p, q) - 1 + F.length(q)).alias("stop")))
+        for name, p, q in (("exact", page, quote), ("canonical", cp, cq), ("verification", vp, vq))
+    ]
+    none = F.struct(F.lit(False).alias("matched"), F.lit(False).alias("exact"), F.lit(None).cast("string").alias("tier"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
+    return F.coalesce(*found, none)
 
 
 def tokens(c: Column) -> Column:
