@@ -11,6 +11,7 @@ MODULES = (
     "factloom.plans.table_queries",
     "factloom.operators.tabular_queries",
     "factloom.operators.document_queries",
+    "factloom.operators.fact_queries",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -155,8 +155,8 @@ def human_bytes(c: Column) -> Column:
     """A size in B, KB or MB with one decimal."""
     return (
         F.when(c < 1024, F.concat(c.cast("long").cast("string"), F.lit(" B")))
-        .when(c < 1024 * 1024, F.concat(F.format_number(c / 1024, "0.0"), F.lit(" KB")))
-        .otherwise(F.concat(F.format_number(c / (1024 * 1024), "0.0"), F.lit(" MB")))
+        .when(c < 1024 * 1024, F.format_string("%.1f KB", c / 1024))
+        .otherwise(F.format_string("%.1f MB", c / (1024 * 1024)))
     )
 
 
