@@ -5,11 +5,11 @@ shifted circularly by k, ranks it for coordinate k. The shifts of one position l
 a document's signature is one gather and one minimum.
 
 Documents with one shingle set are one class, represented by its smallest id; only representatives are banded.
-A bucket of any size is resolved without listing its pairs: first all its members meet its smallest id; then,
-where a bucket still spans several components, its members meet in blocks, a signature estimate and the size
-ratio rule out hopeless pairs, and each document proposes its best partners in each other component. Proposals
-are verified on full shingle sets and the widths grow until no bucket holds an untried pair across components,
-so no link found by banding is lost however large the group. Components come from star contraction.
+A bucket of any size is resolved without listing its pairs: first all its members meet its smallest id, and
+those pairs are verified on full shingle sets; then, where a bucket still spans several components, its members
+meet in pairs of blocks, each of which computes all its exact intersections as a matrix product over the
+shingles that at least two of its documents share, and gives out only the links that join components. So no
+link within a bucket is lost however large it is. Components come from star contraction.
 
 Recall: a pair at the threshold shares no band with a chance below 1e-6 (see `bands_for`).
 
@@ -32,9 +32,8 @@ from factloom.llm.shingles import mix64, random_words, shingle_sets, small_batch
 
 UNIVERSE = 1 << 20
 COORDINATES = 128
-BLOCK = 512
-#: A pair whose estimate lies this far below the threshold is ruled out: over five standard errors.
-SLACK = 0.18
+BLOCK = 2048
+COLUMNS = 4096
 
 
 def bands_for(percent: int, coordinates: int = COORDINATES) -> tuple[int, int]:
@@ -97,11 +96,9 @@ def _banded(k: int, bands: int, rows: int):
 
 def _sets(k: int):
     def run(batches):
-        hasher = circulant()
         for b in small_batches(batches):
             sets = list(shingle_sets(b.column(1), k))
-            sigs = [hasher.signature(s).astype("<u4").tobytes() if len(s) else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
 
     return run
 
@@ -126,40 +123,60 @@ def _groups(batches, key_columns: int):
         yield last, pa.Table.from_batches(held)
 
 
-def _proposed(percent: int, width: int):
-    """Pairs across components of one pair of blocks of a bucket: each document's `width` best partners in
-    each other component by estimate; `more` where some were left for a wider round."""
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The exact sizes of all intersections of two lists of sets, by products over their shared members."""
+    sizes = np.array([len(x) for x in (*left, *right)])
+    members, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    shared = np.bincount(column, minlength=len(members)) > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+        block = np.zeros((len(sizes), min(COLUMNS, int(shared.sum()) - lo)), dtype=np.float32)
+        block[row[i:j], column[i:j] - lo] = 1
+        out += block[: len(left)] @ block[len(left) :].T
+    return out
+
+
+def _linked(percent: int):
+    """The links that join components within one pair of blocks of a bucket: a spanning forest of them."""
 
     def run(batches):
         for (_, bi, bj), t in _groups(batches, 3):
             own, ids, comp = t["own"].to_numpy(), t["id"].to_numpy(), t["comp"].to_numpy()
-            n, sig = t["n"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u4").reshape(len(ids), -1)
             left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
-            a, b, est = [], [], []
-            for i in left:
-                js = right[(comp[right] != comp[i]) & ((right > i) if bi == bj else True)]
-                js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-                if not len(js):
-                    continue
-                e = (sig[js] == sig[i]).mean(axis=1)
-                ok = e >= percent / 100 - SLACK
-                a.append(np.full(int(ok.sum()), i))
-                b.append(js[ok])
-                est.append(e[ok])
-            if not a or not sum(map(len, a)):
+            if not len(left) or not len(right) or len(np.unique(comp)) < 2:
                 continue
-            a, b, est = np.concatenate(a), np.concatenate(b), np.concatenate(est)
-            rank = np.zeros(len(a), dtype=np.int64)
-            for x, y in ((a, b), (b, a)):
-                order = np.lexsort((-est, comp[y], x))
-                fresh = np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (comp[y][order][1:] != comp[y][order][:-1])])
-                at = np.arange(len(order))
-                r = np.empty(len(order), dtype=np.int64)
-                r[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
-                rank = np.maximum(rank, r) if x is b else r
-            keep = rank < width
-            more = np.full(int(keep.sum()), bool((~keep).any()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])[keep]), pa.array(np.maximum(ids[a], ids[b])[keep]), pa.array(more)], ["a", "b", "more"])
+            column = t["shingles"].combine_chunks()
+            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            sets = [flat[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
+            n = np.diff(offsets)
+            rows = [sets[i] for i in left]
+            common = intersections(rows, [sets[i] for i in right]) if bi != bj else intersections(rows, rows)
+            union = n[left][:, None] + n[right][None, :] - common
+            a, b = np.nonzero((100 * common >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+            head: dict[int, int] = {}
+
+            def root(x: int, head=head) -> int:
+                while (up := head.get(x, x)) != x:
+                    head[x] = head.get(up, up)
+                    x = up
+                return x
+
+            out = []
+            for i, j in zip(left[a].tolist(), right[b].tolist(), strict=True):
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y:
+                    head[max(x, y)] = min(x, y)
+                    out.append((int(ids[i]), int(ids[j])))
+            if out:
+                x, y = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return run
 
@@ -181,36 +198,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     involved = written(shared.select("id").distinct(), "involved")
     held = KeyFilter(involved, "id")
     sets = bodies.filter(held.may_contain(F.col("id"))).join(involved, "id", "left_semi")
-    sets = written(sets.select("id", "body").mapInArrow(_sets(k), "id long, shingles array<long>, sig binary"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        joined = pairs.join(right, "b").join(left, "a")
-        common = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return joined.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    sets = written(sets.select("id", "body").mapInArrow(_sets(k), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
     pairs = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(verified(pairs), "links")
-    width = 4
-    while True:
-        comps = written(components(involved, links), "comps")
-        labelled = shared.select("bucket", "id", "n").join(comps.withColumnRenamed("component", "comp"), "id")
-        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-        open_ = open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-        rest = labelled.join(open_, "bucket").join(sets.select("id", "sig").dropDuplicates(["id"]), "id")
-        rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = rest.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "comp", "n", "sig")
-        dealt = dealt.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-        tried = written(dealt.mapInArrow(_proposed(percent, width), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "tried")
-        new = written(verified(tried.join(links, ["a", "b"], "left_anti").select("a", "b")), "links")
-        found, more = new.count(), not tried.filter("more").isEmpty()
-        if found:
-            links = written(links.union(new), "links")
-        if not more:
-            comps = written(components(involved, links), "comps") if found else comps
-            break
-        width *= 8
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    starred = pairs.join(right, "b").join(left, "a").filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common))
+    links = written(starred.select("a", "b"), "links")
+    comps = written(components(involved, links), "comps")
+
+    labelled = written(shared.select("bucket", "id").join(comps.withColumnRenamed("component", "comp"), "id"), "labelled")
+    spanning = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
+    open_ = spanning.filter("lo < hi").groupBy("size", "who").agg(F.min("bucket").alias("bucket"))  # buckets of the same members are one
+    open_ = open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    rest = labelled.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rest.join(sets, "id").select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "comp", "shingles")
+    dealt = dealt.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    more = written(dealt.mapInArrow(_linked(percent), "a long, b long"), "links")
+    if not more.isEmpty():
+        comps = written(components(involved, links.union(more)), "comps")
 
     roots = reps.join(comps, reps["rep"] == comps["id"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return signed.join(roots, "set_key", "left").select(
