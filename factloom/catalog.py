@@ -12,6 +12,7 @@ MODULES = (
     "factloom.operators.tabular_queries",
     "factloom.operators.document_queries",
     "factloom.operators.fact_queries",
+    "factloom.operators.world_queries",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

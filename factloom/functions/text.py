@@ -105,12 +105,12 @@ def scrub_map(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences longer than 20 characters: a text cut after . ? or ! before an upper-case letter or digit."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.?!])\s+(?=[A-Z0-9])"), F.trim), lambda s: F.length(s) > 20)
+    return F.filter(F.transform(F.split(c, r"(?<=[.?!])\s+(?=[A-Z0-9])"), lambda s: F.trim(s)), lambda s: F.length(s) > 20)
 
 
 def paragraphs(c: Column, separator: str = r"\n\s*\n") -> Column:
     """Trimmed paragraphs longer than 20 characters; the whole text if there is none."""
-    found = F.filter(F.transform(F.split(c, separator), F.trim), lambda p: F.length(p) > 20)
+    found = F.filter(F.transform(F.split(c, separator), lambda s: F.trim(s)), lambda p: F.length(p) > 20)
     return F.when(F.size(found) > 0, found).otherwise(F.array(c))
 
 
