@@ -56,9 +56,9 @@ def _shares(cells: DataFrame, name: str, target: Mapping[str, float] | None, fla
     """The wanted share of the row's value of marginal `name`, as a column over the cell table."""
     own = F.sum("tokens").over(Window.partitionBy(name))
     if target:
-        chain = None
+        chain = F
         for value, share in target.items():
-            chain = (chain or F).when(F.col(name) == value, F.lit(float(share)))
+            chain = chain.when(F.col(name) == value, F.lit(float(share)))
         left = max(0.0, 1.0 - sum(target.values()))
         free = F.sum(F.when(F.col(name).isin(*target), F.lit(0)).otherwise(F.col("tokens"))).over(Window.partitionBy(F.lit(0)))
         return chain.otherwise(F.lit(left) * own / free)
