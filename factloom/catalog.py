@@ -13,6 +13,7 @@ MODULES = (
     "factloom.operators.document_queries",
     "factloom.operators.fact_queries",
     "factloom.operators.world_queries",
+    "factloom.operators.model_queries",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
