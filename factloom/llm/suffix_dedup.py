@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import KeyFilter, text_of, written
 from factloom.llm.shingles import mix64, powers, random_words, utf8
 
-LENGTH, GRAM, CROWD = 200, 100, 512
+LENGTH, GRAM, CROWD = 200, 100, 20_000
 SHALLOW_WORDS = 4
 BLOCK_BYTES = 2 << 20
 _BASE = 0xA0761D6478BD642F
