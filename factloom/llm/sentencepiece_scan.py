@@ -25,6 +25,7 @@ repeated rows are encoded alike; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -164,15 +165,12 @@ class Vocabulary:
         if not self.by_word:
             return self.solve([prepared(t) for t in texts])
         cut = [_WORD.findall(prepared(t)) for t in texts]
-        new = sorted(set().union(*cut) - self.memo.keys()) if cut else []
+        seen = dict.fromkeys(itertools.chain.from_iterable(cut))  # in order, so that the memo fills with frequent words
+        new = [w for w in seen if w not in self.memo]
         fresh = dict(zip(new, self.solve(new), strict=True))
-        if len(self.memo) + len(fresh) <= MEMO_WORDS:
-            self.memo.update(fresh)
-            got = self.memo.__getitem__
-        else:
-            known = self.memo
-            got = lambda w: known[w] if w in known else fresh[w]
-        return [b"".join(map(got, c)) for c in cut]
+        table = {w: self.memo[w] for w in seen if w in self.memo} | fresh
+        self.memo.update(itertools.islice(fresh.items(), max(0, MEMO_WORDS - len(self.memo))))
+        return [b"".join(map(table.__getitem__, c)) for c in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids."""

@@ -15,6 +15,7 @@ are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import struct
@@ -32,7 +33,7 @@ from factloom.llm.common import fresh_dir, text_of, written
 MAGIC = b"IDSHARD1"
 NULL_KEY = -(1 << 63)
 KEYS_PER_BUCKET = 3
-MEMO_WORDS = 300_000
+MEMO_PIECES, MEMO_CORES = 200_000, 400_000
 
 
 # --- encoding ---------------------------------------------------------------
@@ -84,7 +85,7 @@ class WordMemoEncoder:
                 out.update((w, self._ids(w)) for w in part)
         return out
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         split, odd = {}, []
         for w in new:
             m = self.core.fullmatch(w)
@@ -92,12 +93,10 @@ class WordMemoEncoder:
                 split[w] = (m[1].lower() if m[1].isascii() else m[1], m[2])
             else:
                 odd.append(w)
-        need = {c for c, _ in split.values()} - self.cores.keys()
-        need |= {t for _, t in split.values() if t} - self.cores.keys()
-        fresh = self._learn_cores(sorted(x for x in need if x.isalpha())) | {x: self._ids(x) for x in need if not x.isalpha()}
-        if len(self.cores) + len(fresh) <= 2 * MEMO_WORDS:
-            self.cores.update(fresh)
-        known = self.cores if fresh.keys() <= self.cores.keys() else self.cores | fresh
+        need = dict.fromkeys(x for c in split.values() for x in c if x and x not in self.cores)
+        fresh = self._learn_cores([x for x in need if x.isalpha()]) | {x: self._ids(x) for x in need if not x.isalpha()}
+        known = {x: self.cores[x] for c in split.values() for x in c if x in self.cores} | fresh
+        self.cores.update(itertools.islice(fresh.items(), max(0, MEMO_CORES - len(self.cores))))
         out = {w: known[c] + known[t] if t else known[c] for w, (c, t) in split.items()}
         out.update((w, self._ids(w)) for w in odd)
         return out
@@ -107,15 +106,11 @@ class WordMemoEncoder:
         if not self.splits:
             return [self._ids(t) for t in texts]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut) - self.pieces.keys() if cut else set()
-        fresh = self._learn(new)
-        if len(self.pieces) + len(fresh) <= MEMO_WORDS:
-            self.pieces.update(fresh)
-            got = self.pieces.__getitem__
-        else:
-            known = self.pieces
-            got = lambda w: known[w] if w in known else fresh[w]
-        return [b"".join(map(got, c)) for c in cut]
+        seen = dict.fromkeys(itertools.chain.from_iterable(cut))  # in order, so that the memo fills with frequent pieces
+        fresh = self._learn([w for w in seen if w not in self.pieces])
+        table = {w: self.pieces[w] for w in seen if w in self.pieces} | fresh
+        self.pieces.update(itertools.islice(fresh.items(), max(0, MEMO_PIECES - len(self.pieces))))
+        return [b"".join(map(table.__getitem__, c)) for c in cut]
 
 
 # --- the index ----------------------------------------------------------------

@@ -17,11 +17,12 @@ def test_memo_gives_the_library_s_ids():
 
 
 def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(ti, "MEMO_WORDS", 3)
+    monkeypatch.setattr(ti, "MEMO_PIECES", 3)
+    monkeypatch.setattr(ti, "MEMO_CORES", 2)
     enc = ti.WordMemoEncoder(PATH)
     texts = ["one two three four five six", "four five six seven"]
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert len(enc.pieces) <= 3 + 1
+    assert len(enc.pieces) <= 3 and len(enc.cores) <= 2
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 5000])
