@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm.common import fresh_dir, without_keys
 from factloom.llm.exact_dedup import exact_dedup
 from factloom.llm.minhash import near_duplicates
-from factloom.llm.mixing import mix
+from factloom.llm.mixing import draw
 from factloom.llm.quality import quality_scores
 from factloom.llm.queries import vocabulary
 from factloom.llm.sentencepiece_scan import encode_and_check
@@ -39,7 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics meet their flattened shares."""
-    return without_keys(docs, _rejected(mix(docs), "not selected"), "doc_id")
+    return draw(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

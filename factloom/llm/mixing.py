@@ -89,21 +89,29 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     return at
 
 
+def _keys(source_col: str, lang_col: str, text_col: str) -> dict[str, Column]:
+    """The cell of a document, null as ''."""
+    return {"source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "topic": topic_of(F.col(text_col))}
+
+
+def _number(id_col: str, seed: str) -> Column:
+    """The uniform number that a document draws."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def _chances(rows: DataFrame, targets, flatten: float, rounds: int, budget: float) -> DataFrame:
+    """(source, lang, topic, probability) of the cells of rows (source, lang, topic, n_tokens)."""
+    cells = written(rows.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    raked = rake(cells, targets, flatten, rounds, budget)
+    return raked.select(*MARGINALS, (F.col("weight") / F.col("tokens")).alias("probability"))
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, flatten: float = 0.7, rounds: int = ROUNDS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: str = "mix") -> DataFrame:
     """id, source, lang, topic, n_tokens, probability and selected of every document."""
-    rows = docs.select(
-        F.col(id_col),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-        topic_of(F.col(text_col)).alias("topic"),
-        token_count(F.col(text_col)).alias("n_tokens"),
-    )
+    rows = docs.select(F.col(id_col), *[c.alias(k) for k, c in _keys(source_col, lang_col, text_col).items()], token_count(F.col(text_col)).alias("n_tokens"))
     rows = written(rows, "rows")
-    cells = written(rows.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets, flatten, rounds, budget)
-    chance = raked.select(*MARGINALS, (F.col("weight") / F.col("tokens")).alias("probability"))
-    joined = rows.join(chance, list(MARGINALS), "left")
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    joined = rows.join(_chances(rows, targets, flatten, rounds, budget), list(MARGINALS), "left")
     return joined.select(
         id_col,
         F.when(F.col("source") != "", F.col("source")).alias("source"),
@@ -111,5 +119,15 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
         "topic",
         "n_tokens",
         "probability",
-        (drawn < F.col("probability")).alias("selected"),
+        (_number(id_col, seed) < F.col("probability")).alias("selected"),
     )
+
+
+def draw(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, flatten: float = 0.7, rounds: int = ROUNDS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: str = "mix") -> DataFrame:
+    """The selected documents with all their columns: those that `mix` marks. Each row is judged by itself against
+    its cell's chance, so documents only meet the small cell table, which Spark broadcasts if its size allows."""
+    own = _keys(source_col, lang_col, text_col)
+    rows = docs.select(*[c.alias(k) for k, c in own.items()], token_count(F.col(text_col)).alias("n_tokens"))
+    chance = _chances(rows, targets, flatten, rounds, budget).toDF(*[f"__{m}" for m in MARGINALS], "__chance")
+    keyed = docs.withColumns({f"__{k}": c for k, c in own.items()}).withColumn("__number", _number(id_col, seed))
+    return keyed.join(chance, [f"__{m}" for m in MARGINALS]).filter("__number < __chance").select(*[F.col(f"`{c}`") for c in docs.columns])

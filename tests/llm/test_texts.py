@@ -154,8 +154,16 @@ def test_mix_is_native_and_repeatable(spark):
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
+def test_draw_takes_what_mix_marks(spark):
+    docs = _docs(spark)
+    drawn = mx.draw(docs)
+    assert drawn.columns == docs.columns
+    assert sorted(r.doc_id for r in drawn.collect()) == sorted(r.doc_id for r in mx.mix(docs).filter("selected").collect())
+    assert not any(w in drawn._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Pandas", "Arrow"))
+
+
 def test_mix_edges(spark):
     df = spark.createDataFrame([(1, None, None, None), (None, "", "a", "en"), (2, "x " * 40_000, "a", "en"), (2, "x " * 40_000, "a", "en")], "doc_id long, text string, source string, lang string")
     got = mx.mix(df).collect()
     assert len(got) == 4 and all(0 <= r.probability <= 1 for r in got)
-    assert mx.mix(df.limit(0)).collect() == []
+    assert mx.mix(df.limit(0)).collect() == [] and mx.draw(df.limit(0)).collect() == []
