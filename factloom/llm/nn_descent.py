@@ -4,8 +4,9 @@ Bit-identical vectors are one node with a multiplicity. The graph starts from so
 neighbours in sort order are compared in fixed blocks, so a cluster of any size stays balanced. Each round then
 joins every node's neighbours and reverse neighbours among themselves, in bounded groups, and keeps the best
 `k` of each node, until few lists change. A list that is full and wholly above the threshold is saturated:
-the lists of its whole cluster (the component of found links) are enlarged to all members, in pairs of blocks
-that only emit counts. Recall is audited against brute force on a fixed number of query vectors, and `k` is
+the whole clusters (components of found links) of such vectors are compared exactly, within and across
+clusters, in pairs of cells that emit counts and the links that join components; only pairs of cells that the
+triangle inequality of angles proves too far apart are skipped. Recall is audited against brute force on a fixed number of query vectors, and `k` is
 doubled while it is below the target. Every link is confirmed by a cosine in double precision.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing and
@@ -175,24 +176,115 @@ def _exact(threshold: float):
     return run
 
 
-def _dense_counts(threshold: float):
+def _centred(batches):
+    """cell, width, center (a unit vector) and radius (the largest angle to it) of each cell's vectors."""
+    for (cell,), t in _groups(batches, 1):
+        x = _matrix(t["unit"])
+        c = x.mean(axis=0)
+        c = c / n if (n := np.linalg.norm(c)) > 1e-6 else x[0]
+        radius = float(np.arccos(np.clip((x @ c).min(), -1.0, 1.0)))
+        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([x.shape[1]], pa.int32()), pa.array([c.tobytes()]), pa.array([radius])], ["cell", "width", "center", "radius"])
+
+
+def _near_cells(threshold: float):
+    """Pairs of cells, each with itself too, that may hold a link: by the triangle inequality of angles no other pair can."""
+    reach = float(np.arccos(threshold)) + 1e-6
+
     def run(batches):
         for (_, bi, bj), t in _groups(batches, 3):
-            own, ids, n = t["own"].to_numpy(), t["id"].to_numpy(), t["copies"].to_numpy()
-            units = t["unit"].to_pylist()
+            own, cells, radius, x = t["own"].to_numpy(), t["cell"].to_numpy(), t["radius"].to_numpy(), _matrix(t["center"])
             left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
-            x, y = (np.frombuffer(b"".join(units[i] for i in part)).reshape(len(part), -1) if len(part) else np.zeros((0, 1)) for part in (left, right))
             if not len(left) or not len(right):
                 continue
-            near = x @ y.T >= threshold
-            if bi == bj:
-                np.fill_diagonal(near, False)
-            out = [(ids[left], near @ n[right])] + ([] if bi == bj else [(ids[right], near.T @ n[left])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for a, _ in out])), pa.array(np.concatenate([c for _, c in out]))], ["id", "links"])
+            angle = np.arccos(np.clip(x[left] @ x[right].T, -1.0, 1.0))
+            i, j = np.nonzero(angle <= radius[left][:, None] + radius[right][None, :] + reach)
+            i, j = cells[left[i]], cells[right[j]]
+            keep = (i <= j) if bi == bj else np.ones(len(i), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)[keep]), pa.array(np.maximum(i, j)[keep])], ["ci", "cj"])
+
+    return run
+
+
+def _counted(threshold: float):
+    """Within one pair of cells, exactly: each vector's partners, its links (partners with their copies), and as rows
+    (id, other) a spanning forest of the links that join components."""
+
+    def run(batches):
+        for (ci, cj), t in _groups(batches, 2):
+            own, ids, n, comp, units = t["own"].to_numpy(), t["id"].to_numpy(), t["copies"].to_numpy(), t["component"].to_numpy(), t["unit"].to_pylist()
+            lens = np.array([len(u) for u in units])
+            for width in np.unique(lens):
+                left, right = np.flatnonzero((own == ci) & (lens == width)), np.flatnonzero((own == cj) & (lens == width))
+                if not len(left) or not len(right):
+                    continue
+                y = np.frombuffer(b"".join(units[i] for i in right)).reshape(len(right), -1)
+                back, backlinks, forest = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64), []
+                for lo in range(0, len(left), DENSE_BLOCK):
+                    part = left[lo : lo + DENSE_BLOCK]
+                    near = np.frombuffer(b"".join(units[i] for i in part)).reshape(len(part), -1) @ y.T >= threshold
+                    near &= ids[part][:, None] != ids[right][None, :]
+                    yield _counts(ids[part], near.sum(axis=1), near @ n[right])
+                    if ci != cj:
+                        back += near.sum(axis=0)
+                        backlinks += near.T @ n[part]
+                    i, j = np.nonzero(near & (comp[part][:, None] != comp[right][None, :]))
+                    _, first = np.unique(np.stack([comp[part[i]], comp[right[j]]]), axis=1, return_index=True)
+                    forest += zip(part[i[first]].tolist(), right[j[first]].tolist(), strict=True)
+                if ci != cj:
+                    yield _counts(ids[right], back, backlinks)
+                if joins := _forest(forest, comp):
+                    a, b = (ids[list(x)] for x in zip(*joins, strict=True))
+                    yield _counts(a, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), b)
 
     return run
 
 
+def _counts(ids, partners, links, other=None) -> pa.RecordBatch:
+    other = pa.nulls(len(ids), pa.int64()) if other is None else pa.array(other)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(partners, pa.int64()), pa.array(links, pa.int64()), other], ["id", "partners", "links", "other"])
+
+
+def _forest(pairs, comp) -> list:
+    """Those of `pairs` of places that join components not yet joined."""
+    head: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := head.get(x, x)) != x:
+            head[x] = head.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i, j in pairs:
+        x, y = root(int(comp[i])), root(int(comp[j]))
+        if x != y:
+            head[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def _within_cells(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The rows of `_counted` for members (cell, id, component, unit, copies) over pairs of cells (ci, cj)."""
+    ends = pairs.select("ci", "cj", F.explode(F.array_distinct(F.array("ci", "cj"))).alias("cell"))
+    rows = ends.join(members, "cell").select("ci", "cj", F.col("cell").alias("own"), "id", "component", "unit", "copies")
+    dealt = rows.repartition("ci", "cj").sortWithinPartitions("ci", "cj")
+    return dealt.mapInArrow(_counted(threshold), "id long, partners long, links long, other long")
+
+
+def dense_links(members: DataFrame, threshold: float) -> DataFrame:
+    """All links among the members (id, component, unit, copies) of dense components, within and across them, as
+    `_counted` gives them. Components are cut into cells of about a block; cells too far apart to link are skipped."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / DENSE_BLOCK).cast("long").alias("blocks"))
+    cell = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("blocks")), F.length("unit"))
+    members = written(members.join(sizes, "component").select(cell.alias("cell"), "id", "component", "unit", "copies"), "cells")
+    centers = written(members.select("cell", "unit").repartition("cell").sortWithinPartitions("cell").mapInArrow(_centred, "cell long, width int, center binary, radius double"), "centers")
+    blocks = centers.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / DENSE_BLOCK).cast("long").alias("blocks"))
+    spread = centers.join(blocks, "width").withColumn("own", F.pmod(F.xxhash64("cell"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select(F.col("width").cast("long").alias("width"), F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cell", "center", "radius")
+    near = spread.repartition("width", "bi", "bj").sortWithinPartitions("width", "bi", "bj").mapInArrow(_near_cells(threshold), "ci long, cj long")
+    return _within_cells(members, near, threshold)
+
+
 def _audit(queries, threshold: float):
     def run(batches):
         ids, units = queries.value
@@ -241,10 +333,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, rounds:
         saturated = graph.filter((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold - 1e-4)).select("id")
         dense = comps.join(saturated, "id", "left_semi").select("component").distinct()
         members = written(comps.join(dense, "component", "left_semi").join(nodes, "id"), "members")
-        sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / DENSE_BLOCK).cast("long").alias("blocks"))
-        spread = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "unit", "copies")
-        counted = spread.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(_dense_counts(threshold), "id long, links long")
+        counted = written(dense_links(members.select("id", "component", "unit", "copies"), threshold), "counted")
+        joins = counted.filter("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        if not joins.isEmpty():
+            comps = written(components(nodes, links.union(joins)), "comps")
         counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
         ends = links.union(links.select("b", "a")).toDF("id", "other")
         listed = ends.join(nodes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("links"))

@@ -123,3 +123,17 @@ def test_near_vectors_match_brute_force(spark):
 
 def test_near_vectors_of_nothing(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_near_vectors_link_tight_subgroups(spark):
+    rng = np.random.default_rng(9)
+    main = np.eye(16)[0]
+    centers = [main + 0.35 * np.eye(16)[i] for i in (1, 2, 3)]  # any two of them at a cosine of about 0.89: only some members link
+    x = np.concatenate([c + rng.normal(size=(110, 16)) * 0.02 for c in centers] + [rng.normal(size=(60, 16))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near[:110].sum(axis=1).min() > 100 and near[:110, 110:220].any()
+    want = roots(range(len(x)), [(int(a), int(b)) for a, b in np.argwhere(near)])
+    got = near_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert [(r.n_links, r.component_id) for r in sorted(got)] == [(int(near[i].sum()), want[i]) for i in range(len(x))]
