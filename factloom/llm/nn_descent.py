@@ -6,8 +6,11 @@ joins every node's neighbours and reverse neighbours among themselves, in bounde
 `k` of each node, until few lists change. A list that is full and wholly above the threshold is saturated:
 the whole clusters (components of found links) of such vectors are compared exactly, within and across
 clusters, in pairs of cells that emit counts and the links that join components; only pairs of cells that the
-triangle inequality of angles proves too far apart are skipped. Recall is audited against brute force on a fixed number of query vectors, and `k` is
-doubled while it is below the target. Every link is confirmed by a cosine in double precision.
+triangle inequality of angles proves too far apart are skipped.
+
+Recall is audited against brute force on a fixed number of vectors outside the clusters compared exactly, as the mean
+over vectors of the share of their partners found. While it is below the target, lists, tables, sort window and rounds
+are doubled, twice at most; if it still is, all vectors are compared exactly, in pairs of blocks. Every link is confirmed by a cosine in double precision.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing and
 are kept; vectors of different length don't link; a null id is returned with no links and a null component; rows
@@ -30,7 +33,8 @@ from factloom.llm.shingles import random_words
 
 K, ROUNDS, TABLES = 10, 4, 4
 SORT_BLOCK, GROUP, DENSE_BLOCK = 192, 96, 512
-AUDIT, TARGET_RECALL = 256, 0.95
+AUDIT, TARGET_RECALL = 2048, 0.95
+EFFORTS, EXACT_BLOCK = (1, 2, 4), 4096
 
 
 def _units(batches):
@@ -98,18 +102,18 @@ def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2])], ["id", "other", "sim"])
 
 
-def _neighbours_in_order(k: int):
+def _neighbours_in_order(k: int, window: int):
     def run(batches):
         held = None
         for b in batches:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            while len(held) >= 2 * SORT_BLOCK:
-                yield from block(held.slice(0, SORT_BLOCK))
-                held = held.slice(SORT_BLOCK // 2)
+            while len(held) >= 2 * window:
+                yield from block(held.slice(0, window))
+                held = held.slice(window // 2)
         if held is not None:
-            for i in range(0, len(held), SORT_BLOCK // 2):
-                yield from block(held.slice(i, SORT_BLOCK))
-                if i + SORT_BLOCK >= len(held):
+            for i in range(0, len(held), window // 2):
+                yield from block(held.slice(i, window))
+                if i + window >= len(held):
                     break
 
     def block(t):
@@ -142,11 +146,11 @@ def _joined(k: int):
     return run
 
 
-def descend(vectors: DataFrame, k: int, rounds: int, tables: int = TABLES) -> DataFrame:
+def descend(vectors: DataFrame, k: int, rounds: int, tables: int = TABLES, window: int = SORT_BLOCK) -> DataFrame:
     """The neighbour graph (id, near) of unit vectors (id, unit)."""
     codes = vectors.select("id", "unit").mapInArrow(_coded(tables), "tab int, width int, code long, id long, vec binary")
     dealt = codes.repartitionByRange("tab", "width", "code", "id").sortWithinPartitions("tab", "width", "code", "id")
-    graph = written(_top(dealt.mapInArrow(_neighbours_in_order(k), _PAIR), k), "graph")
+    graph = written(_top(dealt.mapInArrow(_neighbours_in_order(k, window), _PAIR), k), "graph")
     vecs = written(codes.filter("tab = 0").select("id", "vec"), "vecs")
     for _ in range(rounds):
         edges = graph.select(F.col("id").alias("hub"), F.explode("near.other").alias("id"))
@@ -285,35 +289,45 @@ def dense_links(members: DataFrame, threshold: float) -> DataFrame:
     return _within_cells(members, near, threshold)
 
 
+def exact_links(members: DataFrame, threshold: float) -> DataFrame:
+    """All links among all members (id, component, unit, copies), every pair of blocks compared, as `_counted` gives them."""
+    blocks = max(1, -(-members.count() // EXACT_BLOCK))
+    pairs = members.sparkSession.range(blocks).select(F.col("id").alias("ci"), F.explode(F.sequence("id", F.lit(blocks - 1).cast("long"))).alias("cj"))
+    return _within_cells(members.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(blocks))), pairs, threshold)
+
+
 def _audit(queries, threshold: float):
     def run(batches):
         ids, units = queries.value
         hits = np.zeros(len(ids), dtype=np.int64)
         for b in batches:
-            raw, n = b.column(1).to_pylist(), b.column(2).to_numpy()
+            raw = b.column(1).to_pylist()
             lens = np.array([len(x) for x in raw])
             for width in np.unique(lens):
                 pick = np.flatnonzero(lens == width)
-                x = np.frombuffer(b"".join(raw[i] for i in pick)).reshape(len(pick), -1)
                 at = [i for i, u in enumerate(units) if len(u) == width]
                 if at:
                     q = np.frombuffer(b"".join(units[i] for i in at)).reshape(len(at), -1)
-                    hits[at] += (q @ x.T >= threshold) @ n[pick]
+                    for lo in range(0, len(pick), DENSE_BLOCK):
+                        x = np.frombuffer(b"".join(raw[i] for i in pick[lo : lo + DENSE_BLOCK])).reshape(-1, q.shape[1])
+                        hits[at] += (q @ x.T >= threshold).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits)], ["id", "hits"])
 
     return run
 
 
 def audit(nodes: DataFrame, linked: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """The share of all links of `queries` vectors that `linked` (id, n_links) holds, against brute force."""
+    """The share of its partners that `linked` (id, n_links; copies not counted) holds for a vector, against brute
+    force: the mean over those of `queries` vectors of `linked` that have partners, each counting alike."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("id")).limit(queries).select("id", "unit").collect()  # bounded by `queries`
+    asked = nodes.join(linked.select("id"), "id", "left_semi")
+    sample = asked.orderBy(F.xxhash64("id")).limit(queries).select("id", "unit").collect()  # bounded by `queries`
     if not sample:
         return 1.0
     held = spark.sparkContext.broadcast(([r["id"] for r in sample], [bytes(r["unit"]) for r in sample]))
-    true = nodes.select("id", "unit", "copies").mapInArrow(_audit(held, threshold), "id long, hits long").groupBy("id").agg((F.sum("hits") - 1).alias("hits"))
-    got = linked.join(F.broadcast(true), "id").agg(F.sum(F.least("n_links", "hits")), F.sum("hits")).first()
-    return 1.0 if not got[1] else got[0] / got[1]
+    true = nodes.select("id", "unit").mapInArrow(_audit(held, threshold), "id long, hits long").groupBy("id").agg((F.sum("hits") - 1).alias("hits"))
+    got = linked.join(F.broadcast(true), "id").filter("hits > 0").agg(F.avg(F.least("n_links", "hits") / F.col("hits"))).first()[0]
+    return 1.0 if got is None else got
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, rounds: int = ROUNDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -323,29 +337,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, rounds:
     classes = written(units.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = units.join(classes.select("key", F.col("rep").alias("id"), "copies"), ["key", "id"]).dropDuplicates(["id"])
     nodes = written(reps.select("id", "unit", "copies"), "nodes")
-    while True:
-        graph = descend(nodes.select("id", "unit"), k, rounds)
+    for effort in EFFORTS:
+        size = k * effort
+        graph = descend(nodes.select("id", "unit"), size, rounds * effort, TABLES * effort, SORT_BLOCK * effort)
         near = graph.select("id", F.explode("near").alias("x")).filter(F.col("x.sim") >= threshold - 1e-4)
         pairs = near.select(F.least("id", "x.other").alias("a"), F.greatest("id", "x.other").alias("b")).distinct()
         left, right = nodes.select(F.col("id").alias("a"), F.col("unit").alias("ua")), nodes.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
         links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(_exact(threshold), "a long, b long"), "links")
         comps = written(components(nodes, links), "comps")
-        saturated = graph.filter((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold - 1e-4)).select("id")
+        saturated = graph.filter((F.size("near") >= size) & (F.element_at("near", -1)["sim"] >= threshold - 1e-4)).select("id")
         dense = comps.join(saturated, "id", "left_semi").select("component").distinct()
         members = written(comps.join(dense, "component", "left_semi").join(nodes, "id"), "members")
         counted = written(dense_links(members.select("id", "component", "unit", "copies"), threshold), "counted")
-        joins = counted.filter("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        if not joins.isEmpty():
-            comps = written(components(nodes, links.union(joins)), "comps")
-        counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
-        ends = links.union(links.select("b", "a")).toDF("id", "other")
-        listed = ends.join(nodes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("links"))
-        listed = listed.join(members.select("id"), "id", "left_anti")
-        linked = nodes.select("id", "copies").join(counted.union(listed), "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        linked = written(linked, "linked")
-        if audit(nodes, linked, threshold) >= TARGET_RECALL or k > 64:
+        ends = links.union(links.select("b", "a")).toDF("id", "other").join(members.select("id"), "id", "left_anti")
+        listed = ends.join(nodes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.count(F.lit(1)).alias("partners"), F.sum("copies").alias("links"))
+        listed = nodes.select("id").join(members.select("id"), "id", "left_anti").join(listed, "id", "left")
+        listed = written(listed.select("id", F.coalesce("partners", F.lit(0)).alias("partners"), F.coalesce("links", F.lit(0)).alias("links")), "listed")
+        if audit(nodes, listed.select("id", F.col("partners").alias("n_links")), threshold) >= TARGET_RECALL:
             break
-        k *= 2
+    else:
+        counted = written(exact_links(comps.join(nodes, "id").select("id", "component", "unit", "copies"), threshold), "counted")
+        listed = listed.limit(0)
+    joins = counted.filter("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    if not joins.isEmpty():
+        comps = written(components(nodes, links.union(joins)), "comps")
+    found = counted.select("id", "links").union(listed.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
+    linked = nodes.select("id", "copies").join(found, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     full = linked.join(comps, "id").withColumnRenamed("id", "rep")
     named = units.select("id", "key").join(classes.select("key", "rep"), "key").join(full, "rep").select("id", "n_links", "component").dropDuplicates(["id"])
     out = rows.select("id").join(named, "id", "left")

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from factloom.llm import minhash as mh
+from factloom.llm import nn_descent as nn
 from factloom.llm.common import components
 from factloom.llm.nn_descent import audit, near_vectors
 from factloom.llm.shingles import shingle_sets
@@ -137,3 +138,34 @@ def test_near_vectors_link_tight_subgroups(spark):
     want = roots(range(len(x)), [(int(a), int(b)) for a, b in np.argwhere(near)])
     got = near_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()
     assert [(r.n_links, r.component_id) for r in sorted(got)] == [(int(near[i].sum()), want[i]) for i in range(len(x))]
+
+
+def test_near_vectors_end_exactly_when_the_audit_fails(spark, monkeypatch):
+    efforts = []
+
+    def nothing(vectors, k, rounds, tables=nn.TABLES, window=nn.SORT_BLOCK):
+        efforts.append((k, rounds, tables, window))
+        return spark.createDataFrame([], "id long, near array<struct<sim float, other long>>")
+
+    monkeypatch.setattr(nn, "descend", nothing)
+    monkeypatch.setattr(nn, "EXACT_BLOCK", 16, raising=False)
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(30, 16)), 2, axis=0) + rng.normal(size=(60, 16)) * 0.02
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = roots(range(60), [(int(a), int(b)) for a, b in np.argwhere(near)])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = near_vectors(spark.createDataFrame([*rows, (99, rows[0][1]), (100, [1.0])], "vec_id long, embedding array<double>")).collect()
+    copies = near[:, 0] * 1
+    copies[0] = 1
+    want = [(i, int(near[i].sum() + copies[i]), want[i]) for i in range(60)] + [(99, int(near[0].sum() + 1), want[0]), (100, 0, 100)]
+    assert [(r.vec_id, r.n_links, r.component_id) for r in sorted(got)] == want
+    assert len(efforts) > 1 and all(a < b for a, b in zip(efforts[0], efforts[-1], strict=True))
+
+
+def test_audit_counts_each_vector_alike(spark):
+    u = np.eye(70)[[*([0] * 40), *np.repeat(np.arange(1, 21), 2)]]  # one group of 40, twenty pairs
+    nodes = spark.createDataFrame([(i, r.tobytes(), 1000 if i < 40 else 1) for i, r in enumerate(u)], "id long, unit binary, copies long")
+    lost = spark.createDataFrame([(i, 39 if i < 40 else 0) for i in range(80)], "id long, n_links long")
+    assert audit(nodes, lost, 0.9) == 0.5
