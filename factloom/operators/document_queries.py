@@ -209,7 +209,7 @@ def document_class(spark, sf_dir):
 SELECT doc_id, len(v)::INT AS n, round(coalesce(list_sum(list_filter(v, lambda x: abs(x) < 1e9)), 0), 3) AS total FROM n"""
 )
 def number_extraction(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").filter("length(text) < 2000").select("doc_id", N.extract_numbers(F.col("text")).alias("v"))
+    found = table(spark, sf_dir, "documents").select("doc_id", N.extract_numbers(F.coalesce("text", F.lit(""))).alias("v"))
     small = F.filter("v", lambda x: F.abs(x) < 1e9)
     return found.select("doc_id", F.size("v").alias("n"), F.round(F.aggregate(small, F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
