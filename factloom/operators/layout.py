@@ -89,15 +89,12 @@ def token_confidence(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
     """candidate_id, confidence (mean of the page's tokens that hold, or are held by, a word of the candidate; one
     decimal) and n, for candidates (candidate_id, page, text) and tokens (page, token, confidence).
 
-    Tokens and words meet on shared keys: equal forms, or a form that is part of the other's list of substrings, so
-    no page is compared pair by pair.
+    A token meets each candidate of its page once, with all its words; tokens are dealt by page and never sorted.
     """
-    subs = lambda k: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.transform(F.sequence(F.lit(1), F.length(k) - i + 1), lambda n: F.substr(k, i, n)))))
-    words = candidates.select("candidate_id", "page", F.explode(F.array_distinct(F.filter(F.transform(F.split("text", r"\s+"), X.ocr_key), lambda w: F.length(w) > 0))).alias("word"))
-    own = tokens.select("page", X.ocr_key(F.col("token")).alias("key"), "confidence", F.monotonically_increasing_id().alias("tid")).filter("key <> ''")
-    held = words.select("candidate_id", "page", F.explode(subs(F.col("word"))).alias("key")).distinct().join(own, ["page", "key"])
-    holds = words.join(own.select("page", F.explode(subs(F.col("key"))).alias("word"), "confidence", "tid"), ["page", "word"])
-    met = held.select("candidate_id", "tid", "confidence").union(holds.select("candidate_id", "tid", "confidence")).distinct()
+    words = F.array_distinct(F.filter(F.transform(F.split("text", r"\s+"), X.ocr_key), lambda w: F.length(w) > 0))
+    sought = candidates.select("candidate_id", "page", words.alias("words")).filter("size(words) > 0")
+    own = tokens.select("page", X.ocr_key(F.col("token")).alias("key"), "confidence").filter("key <> ''")
+    met = own.join(sought.hint("shuffle_hash"), "page").filter(F.exists("words", lambda w: F.contains(w, F.col("key")) | F.contains(F.col("key"), w)))
     mean = met.groupBy("candidate_id").agg(F.round(F.avg("confidence"), 1).alias("confidence"), F.count(F.lit(1)).alias("n"))
     return candidates.select("candidate_id").join(mean, "candidate_id", "left").select("candidate_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n", F.lit(0)).alias("n"))
 

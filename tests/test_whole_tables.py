@@ -17,3 +17,15 @@ def test_number_extraction_reads_long_texts(spark, tmp_path):
     texts = [(1, "1,000 and 2.5"), (2, "word " * 600 + "7 then -3"), (3, ""), (4, None), (5, "9 " * 5000)]
     path = given(spark, tmp_path, documents=(texts, "doc_id long, text string"))
     assert run(spark, "number_extraction", path) == [(1, 2, 1002.5), (2, 2, 4.0), (3, 0, 0.0), (4, 0, 0.0), (5, 5000, 45000.0)]
+
+
+def test_ocr_confidence_route_reads_long_pages(spark, tmp_path):
+    long = ["alpha", "beta", "gamma", *[f"filler{i}" for i in range(300)], "ALPHA!", "alphabet", "am", "x" * 3000]
+    path = given(spark, tmp_path, documents=([(1, "one two three one"), (2, " ".join(long))], "doc_id long, text string"))
+    want = []
+    for i, tokens in ((1, ["one", "two", "three", "one"]), (2, long)):
+        keys = ["".join(c for c in t.lower() if c.isalnum()) for t in tokens]
+        hits = [60 + (p * 7 + i) % 40 for p, t in enumerate(keys) if any(t in w or w in t for w in keys[:3])]
+        mean = round(sum(hits) / len(hits), 1)
+        want.append((i, "VERIFIED_OCR" if mean >= 80 else "ESTIMATED", mean, mean < 80))
+    assert run(spark, "ocr_confidence_route", path) == want
