@@ -160,7 +160,7 @@ def table_reconstruct(spark, sf_dir):
 
 @query()
 def reading_order(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 400")
+    li = table(spark, sf_dir, "lineitem")
     items = li.select(F.col("l_suppkey").alias("document_id"), F.lit(1).alias("page"), F.col("l_orderkey").alias("seq"), F.col("l_returnflag").alias("str"), ((F.col("l_orderkey") * 37) % 560).cast("double").alias("x"), ((F.col("l_linenumber") * 60) % 700).cast("double").alias("y"), F.lit(40.0).alias("width"))
     return L.reading_order(items)
 
@@ -254,7 +254,7 @@ j AS (SELECT coalesce(h.sample_id, f.sample_id) AS sample_id, coalesce(ok / null
 SELECT sample_id, round(p, 8) AS precision, round(r, 8) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 8) AS f1, p >= 0.99 AS passed FROM j"""
 )
 def eval_prf(spark, sf_dir):
-    expected = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select((F.col("doc_id") % 20).alias("sample_id"), F.concat(F.lit("Label "), (F.col("doc_id") % 50).cast("string")).alias("label"))
+    expected = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("sample_id"), F.concat(F.lit("Label "), (F.col("doc_id") % 50).cast("string")).alias("label"))
     got = table(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("sample_id"), F.concat(F.lit("LABEL "), (F.col("doc_id") % 60).cast("string")).alias("label"), (F.col("quality") == 1).alias("verified"))
     out = B.extraction_scores(expected, got)
     return out.select("sample_id", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")], "passed")
@@ -265,7 +265,7 @@ def eval_prf(spark, sf_dir):
 SELECT round(avg(hit::INT), 8) AS recall FROM h"""
 )
 def recall_at_k(spark, sf_dir):
-    gold = table(spark, sf_dir, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("question_id"), ((F.col("vec_id") * 7) % 30).alias("page"))
+    gold = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), ((F.col("vec_id") * 7) % 30).alias("page"))
     ranked = gold.select("question_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).withColumn("page", (F.col("question_id") * F.col("rank")) % 30)
     return B.recall_at(ranked, gold).withColumn("recall", F.round("recall", 8))
 

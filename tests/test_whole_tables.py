@@ -29,3 +29,18 @@ def test_ocr_confidence_route_reads_long_pages(spark, tmp_path):
         mean = round(sum(hits) / len(hits), 1)
         want.append((i, "VERIFIED_OCR" if mean >= 80 else "ESTIMATED", mean, mean < 80))
     assert run(spark, "ocr_confidence_route", path) == want
+
+
+def test_reading_order_reads_all_items(spark, tmp_path):
+    path = given(spark, tmp_path, lineitem=([(1, 5, 1, "A"), (900, 5, 2, "B"), (901, 6, 1, "C")], "l_orderkey long, l_suppkey long, l_linenumber int, l_returnflag string"))
+    assert run(spark, "reading_order", path) == [(5, 1, 1, "B"), (5, 1, 2, "A"), (6, 1, 1, "C")]
+
+
+def test_recall_at_k_reads_all_questions(spark, tmp_path):
+    path = given(spark, tmp_path, embeddings=([(i,) for i in range(200, 500)], "vec_id long"))  # page 7 q mod 30 stands at rank 7
+    assert run(spark, "recall_at_k", path) == [(1.0,)]
+
+
+def test_eval_prf_reads_all_documents(spark, tmp_path):
+    path = given(spark, tmp_path, documents=([(i,) for i in range(1, 6)], "doc_id long"), labels=([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int"))
+    assert run(spark, "eval_prf", path) == [(1, 1.0, 1.0, 1.0, True), (2, 0.0, 0.0, 0.0, False), (3, 1.0, 0.0, 0.0, True), (4, 1.0, 1.0, 1.0, True), (5, 1.0, 0.0, 0.0, True)]
