@@ -44,3 +44,16 @@ def test_recall_at_k_reads_all_questions(spark, tmp_path):
 def test_eval_prf_reads_all_documents(spark, tmp_path):
     path = given(spark, tmp_path, documents=([(i,) for i in range(1, 6)], "doc_id long"), labels=([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int"))
     assert run(spark, "eval_prf", path) == [(1, 1.0, 1.0, 1.0, True), (2, 0.0, 0.0, 0.0, False), (3, 1.0, 0.0, 0.0, True), (4, 1.0, 1.0, 1.0, True), (5, 1.0, 0.0, 0.0, True)]
+
+
+def test_verification_reads_all_languages_and_lengths(spark, tmp_path):
+    body = " ".join(f"wort{i}" for i in range(40))
+    rows = [(6, "en", body), (12, "de", body), (18, None, body), (24, "fr", "kurz"), (30, "en", ""), (36, "en", None), (22, "de", body)]
+    path = given(spark, tmp_path, documents=(rows, "doc_id long, lang string, text string"))
+    good, lost, bare = (True, None, "VERIFIED"), (False, "QUOTE_NOT_ON_SINGLE_PAGE", "REJECTED"), (False, "PAGE_TEXT_MISSING", "UNVERIFIABLE")
+    want = {6: good, 12: good, 18: good, 22: bare, 24: lost, 30: bare, 36: bare}
+    assert run(spark, "verify_facts_chain", path) == [(i, *want[i]) for i in sorted(want)]
+    assert run(spark, "fail_reason_histogram", path) == [("PAGE_TEXT_MISSING", 3), ("QUOTE_NOT_ON_SINGLE_PAGE", 1), ("VERIFIED", 3)]
+    assert run(spark, "verification_rate", path) == [(7, 3, 3 / 7)]
+    forms = dict(catalog.QUERIES["normalize_verification"](spark, path).collect())
+    assert set(forms) == set(want) and forms[6] == forms[12] == forms[18] and forms[36] is None
