@@ -107,14 +107,21 @@ def route_candidates(scored: DataFrame) -> DataFrame:
 
 
 def sample_quotes(pages: DataFrame) -> DataFrame:
-    """document_id, page, category and quote: at most one quote a page of each category, the first that fits."""
-    lines = pages.select("document_id", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("length(line) >= 20")
+    """document_id, page, category and quote: at most one quote a page of each category, the first that fits.
+
+    A multi-line quote is two consecutive lines joined by a blank, the first without a colon and not ending in a dot.
+    """
+    lines = pages.select("document_id", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    lines = lines.withColumn("next", F.lead("line").over(Window.partitionBy("document_id", "page").orderBy("pos"))).filter("length(line) >= 20")
+    goes_on = (F.length(F.coalesce("next", F.lit(""))) >= 20) & ~F.col("line").endswith(".") & ~F.col("line").contains(":")
     kinds = F.array(
         F.struct(F.lit("single_line").alias("category"), F.lit(True).alias("fits")),
+        F.struct(F.lit("multi_line").alias("category"), goes_on.alias("fits")),
         F.struct(F.lit("numeric").alias("category"), F.col("line").rlike("[0-9]").alias("fits")),
         F.struct(F.lit("hyphenated").alias("category"), F.col("line").rlike("[a-zA-Z]{2,}-[a-zA-Z]{2,}").alias("fits")),
         F.struct(F.lit("typographic").alias("category"), F.col("line").rlike(f"[{X.DOUBLE_QUOTES}{X.SINGLE_QUOTES}{X.DASHES}]").alias("fits")),
     )
-    rows = lines.select("document_id", "page", "pos", "line", F.explode(kinds).alias("k")).filter("k.fits")
+    rows = lines.select("document_id", "page", "pos", "line", "next", F.explode(kinds).alias("k")).filter("k.fits")
+    quote = F.when(F.col("category") == "multi_line", F.concat_ws(" ", "line", "next")).otherwise(F.col("line"))
     first = F.row_number().over(Window.partitionBy("document_id", "page", "k.category").orderBy("pos"))
-    return rows.withColumn("n", first).filter("n = 1").select("document_id", "page", "k.category", F.col("line").alias("quote"))
+    return rows.withColumn("n", first).filter("n = 1").select("document_id", "page", "k.category", "line", "next").select("document_id", "page", "category", quote.alias("quote"))

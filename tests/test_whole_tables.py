@@ -57,3 +57,21 @@ def test_verification_reads_all_languages_and_lengths(spark, tmp_path):
     assert run(spark, "verification_rate", path) == [(7, 3, 3 / 7)]
     forms = dict(catalog.QUERIES["normalize_verification"](spark, path).collect())
     assert set(forms) == set(want) and forms[6] == forms[12] == forms[18] and forms[36] is None
+
+
+def test_quote_samples_match_brute_force(spark, tmp_path):
+    a, b, c = "A heading with: a colon in it", "A line that ends in a full stop.", "Some words that run on well-known"
+    d, e = "into the next line with 12 words", "and \u201cone more\u201d that nothing follows"
+    texts = {1: [a, d, "short", c, "", d, c, d, e], 2: [b, d], 3: [d, "short", e], 4: ["short"], 5: [f"  {c}  ", e, d]}
+    path = given(spark, tmp_path, documents=([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string"))
+    want = []
+    for i, raw in texts.items():
+        lines = [x.strip(" ") for x in raw]
+        fits = {
+            "single_line": lines, "numeric": [x for x in lines if "1" in x], "hyphenated": [x for x in lines if "l-k" in x], "typographic": [x for x in lines if "\u201c" in x],
+            "multi_line": [f"{x} {y}" for x, y in zip(lines, lines[1:], strict=False) if len(x) >= 20 <= len(y) and x[-1] != "." and ":" not in x],
+        }
+        for kind, found in fits.items():
+            want += [(i, 1, kind, x) for x in found if len(x) >= 20][:1]
+    assert run(spark, "quote_samples", path) == sorted(want)
+    assert {(i, q) for i, _, kind, q in want if kind == "multi_line"} == {(1, f"{d} {c}"), (5, f"{c} {e}")}
