@@ -60,7 +60,9 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sym = _symbols()[np.minimum(code, 0xFFFF)]
-    sym[code > 0xFFFF] = 27 + code[code > 0xFFFF] % 37
+    if len(high := np.flatnonzero(code > 0xFFFF)):
+        each, which = np.unique(code[high], return_inverse=True)
+        sym[high] = np.where([chr(c).isalpha() for c in each], 27 + each % 37, 0)[which]
     lens = np.array([len(t) for t in low], dtype=np.int64)
     ends = np.cumsum(lens + 1)  # the place of the blank after each text
     edge = np.zeros(len(code), dtype=bool)

@@ -72,3 +72,11 @@ def test_bundle_equals_the_sum_of_bound_vectors():
     assert sorted(grams[of == 0].tolist()) == sorted([(0 << 12) | (a << 6) | b, (a << 12) | (b << 6), (b << 12) | (0 << 6) | a, (0 << 12) | (a << 6)])
     v = li._letters()[1]
     assert (li.trigram_vectors(np.array([(a << 12) | (b << 6) | a]))[0] == np.roll(v[a], 2) * np.roll(v[b], 1) * v[a]).all()
+
+
+def test_astral_symbols_are_letters_only_where_they_are():
+    from factloom.llm.language_id import trigrams
+
+    of, grams, letters = trigrams(["\U0001f600\U0001f601", "a\U0001f600b", "a b", "\U00020000\U00020001"])
+    assert letters.tolist() == [False, True, True, True]
+    assert grams[of == 1].tolist() == grams[of == 2].tolist() and not (of == 0).any()
