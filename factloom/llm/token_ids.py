@@ -17,23 +17,23 @@ from __future__ import annotations
 import functools
 import itertools
 import json
-import re
 import struct
-import unicodedata
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fresh_dir, text_of, written
+from factloom.llm.shingles import small_batches
 
 MAGIC = b"IDSHARD1"
 NULL_KEY = -(1 << 63)
 KEYS_PER_BUCKET = 3
-MEMO_PIECES, MEMO_CORES = 200_000, 400_000
+MEMO_CORES = 400_000
 
 
 # --- encoding ---------------------------------------------------------------
@@ -44,73 +44,100 @@ def encoder(path: str) -> WordMemoEncoder:
     return WordMemoEncoder(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies spell each byte: itself if printable, else one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Letters that every tokenizer lower-cases and normalises alike, and marks that may follow them (no apostrophe: it binds letters).
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
+
+
 class WordMemoEncoder:
-    """Encodes whole texts with the tokenizers library, a piece between blanks at a time.
+    """Encodes whole texts with the tokenizers library, each distinct piece between blanks once a batch.
 
-    It applies to tokenizers whose pre-tokens never hold a blank and whose words end in a marked token
-    (`word_end`): then the ids of a text are those of its pieces in turn. Pieces and their letter cores are
-    remembered, up to a fixed number, so that the library sees each frequent word once a worker.
+    It applies to tokenizers whose pre-tokens never hold a blank and whose words end in a marked token: then the
+    ids of a text are those of its pieces in turn. A plain piece is the library's model applied to its lower-cased
+    letters, and the ids of the marks after them; any other piece goes through the whole tokenizer. The ids of letter cores
+    are remembered, up to a fixed number, so that the library sees each frequent word once a worker.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(Tokenizer.from_file(path).to_str())
         self.tokenizer = Tokenizer.from_file(path)
-        self.word_end = spec["model"].get("end_of_word_suffix") or None
-        self.splits = spec["pre_tokenizer"]["type"] == "Sequence" and self.word_end is not None
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        spec = json.loads(self.tokenizer.to_str())
         n = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
-        self.ends = np.zeros(n, dtype=bool)
-        if self.word_end:
-            for token, i in self.tokenizer.get_vocab().items():
-                self.ends[i] = token.endswith(self.word_end)
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.letters = _byte_letters()
         self.cores: dict[str, bytes] = {}
-        self.core = re.compile(r"([^\W\d_]+)([.,]?)")
+        ends_words = bool(spec["model"].get("end_of_word_suffix")) and (spec["pre_tokenizer"] or {}).get("type") == "Sequence"
+        self.splits = ends_words and all(self._of_model([w]) == [self._ids(w.upper())] for w in ("word", "éàüñ", "qzxjkv"))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn_cores(self, cores: list[str]) -> dict[str, bytes]:
-        out = {}
-        for i in range(0, len(cores), 64):
-            part = cores[i : i + 64]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
-            words = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
-            if len(words) == len(part):
-                out.update((w, x.tobytes()) for w, x in zip(part, words, strict=True))
-            else:  # a core that the tokenizer splits otherwise
-                out.update((w, self._ids(w)) for w in part)
+    def _of_batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_model(self, words: list[str]) -> list[bytes]:
+        """The ids of lower-case words of letters by the library's model alone."""
+        spell, solve, width, flat, ends = self.letters, self.tokenizer.model.tokenize, self.dtype.itemsize, [], [0]
+        for w in words:
+            flat += [t.id for t in solve(w if w.isascii() else w.encode().decode("latin-1").translate(spell))]
+            ends.append(len(flat) * width)
+        raw = np.array(flat, dtype=self.dtype).tobytes()
+        return [raw[i:j] for i, j in itertools.pairwise(ends)]
+
+    def _of_cores(self, cores: list[str]) -> list[bytes]:
+        out = list(map(self.cores.get, cores))
+        new = [i for i, x in enumerate(out) if x is None]
+        fresh = self._of_model([cores[i] for i in new])
+        for i, x in zip(new, fresh, strict=True):
+            out[i] = x
+        room = max(0, MEMO_CORES - len(self.cores))
+        self.cores.update(zip([cores[i] for i in new[:room]], fresh, strict=False))
         return out
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        split, odd = {}, []
-        for w in new:
-            m = self.core.fullmatch(w)
-            if m and m[1].isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)):
-                split[w] = (m[1].lower() if m[1].isascii() else m[1], m[2])
-            else:
-                odd.append(w)
-        need = dict.fromkeys(x for c in split.values() for x in c if x and x not in self.cores)
-        fresh = self._learn_cores([x for x in need if x.isalpha()]) | {x: self._ids(x) for x in need if not x.isalpha()}
-        known = {x: self.cores[x] for c in split.values() for x in c if x in self.cores} | fresh
-        self.cores.update(itertools.islice(fresh.items(), max(0, MEMO_CORES - len(self.cores))))
-        out = {w: known[c] + known[t] if t else known[c] for w, (c, t) in split.items()}
-        out.update((w, self._ids(w)) for w in odd)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
+    def _segments(self, kinds: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids as segments (0 is empty), and the two segments that each distinct piece consists of."""
+        plain = pc.match_substring_regex(kinds, f"^{_LETTERS}{_MARKS}$")
+        words = pc.utf8_lower(kinds.filter(plain))
+        core = pc.replace_substring_regex(words, f"{_MARKS}$", "").dictionary_encode()
+        mark = pc.replace_substring_regex(words, f"^{_LETTERS}", "").dictionary_encode()
+        cores = self._of_cores(core.dictionary.to_numpy(zero_copy_only=False).tolist())
+        marks = self._of_batch(mark.dictionary.to_pylist())
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        odd = ~is_plain & (pc.binary_length(kinds).to_numpy() > 0)
+        others = self._of_batch(kinds.filter(pa.array(odd)).to_pylist())
+        two = np.zeros((len(kinds), 2), dtype=np.int64)
+        two[is_plain, 0] = core.indices.to_numpy() + 1
+        two[is_plain, 1] = mark.indices.to_numpy() + 1 + len(cores)
+        two[odd, 0] = np.arange(len(others)) + 1 + len(cores) + len(marks)
+        return [b"", *cores, *marks, *others], two
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column without nulls, one after the other, and how many each text has."""
         if not self.splits:
-            return [self._ids(t) for t in texts]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = dict.fromkeys(itertools.chain.from_iterable(cut))  # in order, so that the memo fills with frequent pieces
-        fresh = self._learn([w for w in seen if w not in self.pieces])
-        table = {w: self.pieces[w] for w in seen if w in self.pieces} | fresh
-        self.pieces.update(itertools.islice(fresh.items(), max(0, MEMO_PIECES - len(self.pieces))))
-        return [b"".join(map(table.__getitem__, c)) for c in cut]
+            got = self._of_batch(column.to_pylist())
+            return np.frombuffer(b"".join(got), dtype=self.dtype), np.array([len(x) // self.dtype.itemsize for x in got], dtype=np.int64)
+        cut = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " ")
+        pieces = cut.flatten().dictionary_encode()
+        parts, two = self._segments(pieces.dictionary)
+        sizes = np.array([len(x) for x in parts], dtype=np.int64) // self.dtype.itemsize
+        pool, first = np.frombuffer(b"".join(parts), dtype=self.dtype), np.cumsum(sizes) - sizes
+        at = two[pieces.indices.to_numpy()].ravel()
+        ends = np.cumsum(sizes[at])
+        ids = pool[np.repeat(first[at] - ends + sizes[at], sizes[at]) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends[1::2]])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return ids, np.diff(bounds)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, lengths = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(lengths)[:-1]) if texts else []
 
 
 # --- the index ----------------------------------------------------------------
@@ -241,25 +268,21 @@ _MANIFEST = "shard string, first_id long, n_docs long, n_tokens long"
 def _write_shard(folder: str, tokenizer: str, end_id: int):
     def run(batches):
         enc, store, ids, lengths, out, name = encoder(tokenizer), None, [], [], None, uuid.uuid4().hex
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
-        for b in batches:
-            if not len(b):
-                continue
+        for b in small_batches(batches, rows=1 << 14, size=8 << 20):
             if out is None:
                 store, path = _store(folder)
                 out = store.open_output_stream(f"{path}/{name}.ids")
             ids.append(b.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
-            for x in enc.encode(b.column(1).to_pylist()):
-                out.write(x)
-                out.write(end)
-                lengths.append(len(x) // enc.dtype.itemsize + 1)
+            got, counts = enc.encode_column(b.column(1))
+            out.write(np.insert(got, np.cumsum(counts), end_id).tobytes())
+            lengths.append(counts + 1)
         if out is None:
             return
         out.close()
-        every = np.concatenate(ids)
+        every, sizes = np.concatenate(ids), np.concatenate(lengths)
         with store.open_output_stream(f"{path}/{name}.idx") as f:
-            f.write(ShardIndex.build(every, np.array(lengths, dtype=np.int64), enc.dtype).to_bytes())
-        yield pa.RecordBatch.from_pydict({"shard": [name], "first_id": [int(every[0])], "n_docs": [len(every)], "n_tokens": [int(sum(lengths))]})
+            f.write(ShardIndex.build(every, sizes, enc.dtype).to_bytes())
+        yield pa.RecordBatch.from_pydict({"shard": [name], "first_id": [int(every[0])], "n_docs": [len(every)], "n_tokens": [int(sizes.sum())]})
 
     return run
 
