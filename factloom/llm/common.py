@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,13 +65,13 @@ class KeyFilter:
     def may_contain(self, key: Column) -> Column:
         held = self.held
 
-        def held_at(p: pd.Series) -> np.ndarray:
-            at = p.to_numpy(dtype=np.int64)
-            return ((held.value[at >> 6] >> (at & 63)) & 1).astype(bool)
-
-        @F.pandas_udf("boolean")
-        def probe(first: pd.Series, second: pd.Series) -> pd.Series:
-            return pd.Series(held_at(first) & held_at(second))
+        @F.arrow_udf("boolean")
+        def probe(first: pa.Array, second: pa.Array) -> pa.Array:
+            out = np.ones(len(first), dtype=bool)
+            for p in (first, second):
+                at = p.to_numpy(zero_copy_only=False)
+                out &= ((held.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+            return pa.array(out)
 
         return probe(*[self._at(key, i) for i in range(self.PROBES)])
 

@@ -32,7 +32,8 @@ from factloom.llm.shingles import mix64, random_words, shingle_sets, small_batch
 
 UNIVERSE = 1 << 20
 COORDINATES = 128
-BLOCK = 2048
+#: A block of a bucket has about so many sets, and so many shingles in all its sets, at most.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 COLUMNS = 4096
 
 
@@ -134,12 +135,12 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     row, column = row[keep], place[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
     for lo in range(0, int(shared.sum()), COLUMNS):
         i, j = np.searchsorted(column, [lo, lo + COLUMNS])
         block = np.zeros((len(sizes), min(COLUMNS, int(shared.sum()) - lo)), dtype=np.float32)
         block[row[i:j], column[i:j] - lo] = 1
-        out += block[: len(left)] @ block[len(left) :].T
+        out += (block[: len(left)] @ block[len(left) :].T).astype(np.int64)  # at most COLUMNS each, so exact in single precision
     return out
 
 
@@ -208,10 +209,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = written(starred.select("a", "b"), "links")
     comps = written(components(involved, links), "comps")
 
-    labelled = written(shared.select("bucket", "id").join(comps.withColumnRenamed("component", "comp"), "id"), "labelled")
-    spanning = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
-    open_ = spanning.filter("lo < hi").groupBy("size", "who").agg(F.min("bucket").alias("bucket"))  # buckets of the same members are one
-    open_ = open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    labelled = written(shared.select("bucket", "id", "n").join(comps.withColumnRenamed("component", "comp"), "id"), "labelled")
+    spanning = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
+    open_ = spanning.filter("lo < hi").groupBy("size", "volume", "who").agg(F.min("bucket").alias("bucket"))  # buckets of the same members are one
+    open_ = open_.select("bucket", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("volume") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     rest = labelled.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = rest.join(sets, "id").select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "comp", "shingles")
     dealt = dealt.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")

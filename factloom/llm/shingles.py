@@ -1,18 +1,21 @@
 """Word shingles of whole texts as sorted sets of 64-bit fingerprints, computed on Arrow buffers with numpy.
 
-Words are runs of bytes other than blank and 0x09-0x0D, with A-Z lower-cased. A word's fingerprint is a
-polynomial over random byte values modulo 2^64, read off prefix sums, so a batch of texts is hashed without a
-Python loop over words. Two different shingles share a fingerprint with a chance of about 2^-64.
+Words are runs of bytes other than blank and 0x09-0x0D, with A-Z lower-cased. A word's fingerprint chains a
+nonlinear 64-bit mix over its eight-byte chunks, all words of a batch at once; words over LONG_WORD bytes take a
+keyed BLAKE2b digest. Words of up to eight bytes never share a fingerprint with another of their length; any two
+others, and two different shingles, do with a chance of about 2^-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 20
+LONG_WORD = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -28,12 +31,11 @@ def random_words(n: int, seed: int) -> np.ndarray:
         return mix64((np.arange(n, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = random_words(256, 11)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -60,21 +62,25 @@ def word_fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     """(text index, fingerprint) of every word, in order."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    solid = ~_SPACE[data]
+    solid = np.zeros(len(data) + 2, dtype=bool)
+    np.logical_not(_SPACE[data], out=solid[1:-1])
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[offsets] = True
-    starts = np.flatnonzero(solid & (begins[:-1] | ~np.concatenate([[False], solid[:-1]])))
-    ends = np.flatnonzero(solid & (begins[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
-    out, i = np.empty(len(starts), dtype=np.uint64), 0
-    with np.errstate(over="ignore"):
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
-            lo, hi = starts[i], ends[j - 1]
-            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[data[lo:hi]] * powers(_BASE, hi - lo), out=sums[1:])
-            s, e = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = mix64((sums[e] - sums[s]) * powers(_INVERSE, hi - lo)[s] + (e - s).astype(np.uint64))
-            i = j
+    starts = np.flatnonzero(solid[1:-1] & (begins[:-1] | ~solid[:-2]))
+    sizes = np.flatnonzero(solid[1:-1] & (begins[1:] | ~solid[2:])) + 1 - starts
+    low = np.zeros(len(data) + 8, dtype=np.uint8)
+    low[:-8] = _LOWER[data]
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=low, strides=(1,))  # the eight bytes from each place
+    out = mix64(sizes.astype(np.uint64) + random_words(1, 11))
+    at = np.arange(len(starts))
+    for done in range(0, LONG_WORD, 8):
+        at = at[sizes[at] > done]
+        if not len(at):
+            break
+        out[at] = mix64(out[at] ^ (eight[starts[at] + done] & _HEAD[np.minimum(sizes[at] - done, 8)]))
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        word = low[starts[i] : starts[i] + sizes[i]]
+        out[i] = int.from_bytes(hashlib.blake2b(word.data, digest_size=8, key=b"word").digest(), "little")
     return np.searchsorted(offsets, starts, "right") - 1, out
 
 
@@ -102,7 +108,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def small_batches(batches, rows: int = 512, size: int = 4 << 20):
+def small_batches(batches, rows: int = 512, size: int = 1 << 20):
     """Slices of record batches so that the text in hand stays within about `size` bytes (one text at least)."""
     for b in batches:
         if not len(b):
