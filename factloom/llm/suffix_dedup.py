@@ -9,7 +9,9 @@ anchors; only segments whose anchor occurs more than once are then dealt by anch
   - otherwise the segments are suffix-sorted: multikey quicksort over eight-byte symbols to a shallow depth,
     then a blind trie for each group that still agrees; neighbours that agree over the full length are repeats;
   - anchors in more than `crowd` places (a line or passage in a large part of the corpus) don't go to one task:
-    their strings are counted by 128-bit fingerprint with map-side sums, which is exact for any number.
+    their strings are counted with map-side sums under a 128-bit BLAKE2b digest of their bytes.
+Bytes are compared, or their BLAKE2b digests; the rolling polynomial hash only chooses anchors, where a collision
+makes strings meet that differ, and nothing else. Two different strings share a digest with a chance of 2^-128.
 Anchors are routed by Bloom filters whose size is bounded; each route decides from scratch, so a filter's false
 positives cost time only.
 
@@ -40,17 +42,20 @@ _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 class Block:
-    """Prefix sums of a stretch of bytes, from which the hash of any substring is read."""
+    """A stretch of bytes: rolling hashes of its grams and digests of its substrings."""
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=self.sums[1:])
+        self.data = np.ascontiguousarray(data)
 
-    def hashes(self, starts, ends) -> np.ndarray:
+    def grams(self, gram: int) -> np.ndarray:
+        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            x = (self.sums[ends] - self.sums[starts]) * powers(_INVERSE, len(self.sums))[starts]
-            return mix64(x + np.asarray(ends - starts).astype(np.uint64))
+            np.cumsum(_BYTE[self.data] * powers(_BASE, len(self.data)), out=sums[1:])
+            return mix64((sums[gram:] - sums[:-gram]) * powers(_INVERSE, len(sums) - gram))
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw, digest = memoryview(self.data), hashlib.blake2b
+        return [digest(raw[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -61,9 +66,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         if hi - lo < length:
             break
         block = Block(data[lo:hi])
-        n = hi - lo - gram + 1
-        with np.errstate(over="ignore"):
-            h = mix64((block.sums[gram:] - block.sums[:-gram]) * powers(_INVERSE, n))
+        h = block.grams(gram)
         low, span, want = h, 1, length - gram + 1
         while span * 2 <= want:
             low = np.minimum(low[:-span], low[span:])
@@ -100,13 +103,15 @@ def _anchors(length: int, gram: int):
     def run(batches):
         for b in _by_bytes(batches):
             for block, lo, _, at, runs, anchor in segments(*utf8(b.column(0)), length, gram):
-                whole = block.hashes(at - lo, at - lo + runs + length - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], ["anchor", "whole"])
+                for i in range(0, len(at), 65536):
+                    s = at[i : i + 65536] - lo
+                    whole = np.frombuffer(b"".join(block.digests(s, s + runs[i : i + 65536] + length - 1)), dtype="<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[i : i + 65536].view(np.int64)), pa.array(whole[:, 0]), pa.array(whole[:, 1])], ["anchor", "head", "tail"])
 
     return run
 
 
-_ROUTED = "route int, anchor long, id long, h long, start int, run int, body binary, prints array<long>"
+_ROUTED = "route int, anchor long, id long, h long, start int, run int, body binary, prints array<binary>"
 
 
 def _routed(length: int, gram: int, crowded, mixed, uniform):
@@ -127,11 +132,11 @@ def _routed(length: int, gram: int, crowded, mixed, uniform):
                             bodies[j] = data[s : s + n + length - 1].tobytes()
                         elif route[i] == 3:
                             p = np.arange(s - lo, s - lo + n)
-                            prints[j] = block.hashes(p, p + length).view(np.int64)
+                            prints[j] = block.digests(p, p + length)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(route[keep].astype(np.int32)), pa.array(anchor[keep].view(np.int64)), ids.take(pa.array(of[keep])), h.take(pa.array(of[keep])),
-                            pa.array((at - offsets[of])[keep].astype(np.int32)), pa.array(runs[keep].astype(np.int32)), pa.array(bodies, pa.binary()), pa.array(prints, pa.list_(pa.int64())),
+                            pa.array((at - offsets[of])[keep].astype(np.int32)), pa.array(runs[keep].astype(np.int32)), pa.array(bodies, pa.binary()), pa.array(prints, pa.list_(pa.binary())),
                         ],
                         ["route", "anchor", "id", "h", "start", "run", "body", "prints"],
                     )
@@ -310,9 +315,10 @@ def _filter_bits(n: int) -> int:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, lo, hi): the byte ranges of each document covered by repeated strings, before merging. h is the text's hash."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("body")).filter(F.octet_length("body") >= length)
-    seen = rows.select("body").mapInArrow(_anchors(length, gram), "anchor long, whole long")
-    counted = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).filter("n > 1")
-    kinds = written(counted.select("anchor", F.when(F.col("a") == F.col("b"), 1).when(F.col("n") > crowd, 3).otherwise(2).alias("route")), "anchors")
+    seen = rows.select("body").mapInArrow(_anchors(length, gram), "anchor long, head long, tail long")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("head", "tail") for f in (F.min, F.max)]
+    counted = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1")
+    kinds = written(counted.select("anchor", F.when(F.expr("min_head = max_head and min_tail = max_tail"), 1).when(F.col("n") > crowd, 3).otherwise(2).alias("route")), "anchors")
     sizes = {r["route"]: r["count"] for r in kinds.groupBy("route").count().collect()}
     probes = [KeyFilter(kinds.filter(F.col("route") == r), "anchor", _filter_bits(sizes.get(r, 0)), hashed=True).prober() for r in (3, 2, 1)]
     routed = written(rows.mapInArrow(_routed(length, gram, *probes), _ROUTED), "segments")

@@ -45,6 +45,15 @@ def test_repeats_match_brute_force(spark, crowd):
         assert sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_removed
 
 
+@pytest.mark.parametrize("crowd", [20_000, 0])
+def test_strings_with_the_same_polynomial_hash_stay(spark, crowd):
+    bits = [bin(i).count("1") % 2 for i in range(256)]
+    one, two = "".join("!F"[b] for b in bits), "".join("F!"[b] for b in bits)
+    rows = [(1, one), (2, two), (3, one[:100])]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=256, gram=8, crowd=crowd).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == removed(rows, 256) and not any(r.n_removed for r in got)
+
+
 def test_repeats_of_nothing(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
