@@ -12,10 +12,12 @@ Recall is audited against brute force on a fixed number of vectors outside the c
 over vectors of the share of their partners found. While it is below the target, lists, tables, sort window and rounds
 are doubled, twice at most; if it still is, all vectors are compared exactly, in pairs of blocks. Every link is confirmed by a cosine in double precision.
 
+A pair within rounding of the threshold is judged by one order of summation, whichever step meets it.
+
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing and
 are kept; vectors of different length don't link; a null id is returned with no links and a null component; rows
-that repeat an id and vector count as copies of each other; an empty table gives an empty result; other columns
-are ignored.
+that repeat an id and vector count as copies of each other, and rows that repeat an id with another vector are
+vectors of their own, each with its own links; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,20 +41,16 @@ EFFORTS, EXACT_BLOCK = (1, 2, 4), 4096
 
 
 def _units(batches):
-    """id, class key, unit vector (little-endian float64) and one sort code a table."""
+    """vec, class key and unit vector (little-endian float64) of each row; no key where the row can't link."""
     for b in batches:
-        ids, keys, units = [], [], []
+        keys, units = [], []
         for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if i is None or not x or any(c is None for c in x):
-                continue
-            v = np.array(x, dtype=np.float64)
+            v = np.array(x, dtype=np.float64) if i is not None and x and None not in x else np.zeros(1)
             norm = np.linalg.norm(v)
-            if not np.isfinite(v).all() or not norm > 0 or not np.isfinite(norm):
-                continue
-            ids.append(i)
-            keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-            units.append((v / norm).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["id", "key", "unit"])
+            fit = bool(np.isfinite(norm) and norm > 0)
+            keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest() if fit else None)
+            units.append((v / norm).tobytes() if fit else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["vec", "key", "unit"])
 
 
 def _matrix(column, dtype="<f8") -> np.ndarray:
@@ -170,12 +169,26 @@ def descend(vectors: DataFrame, k: int, rounds: int, tables: int = TABLES, windo
     return graph
 
 
+def _judged(sims: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """sims >= threshold for the products sims of rows of x and y; those within rounding of it are summed in one order."""
+    out = sims >= threshold
+    i, j = np.nonzero(np.abs(sims - threshold) < 1e-11)
+    for k in range(0, len(i), DENSE_BLOCK):
+        a, b = i[k : k + DENSE_BLOCK], j[k : k + DENSE_BLOCK]
+        out[a, b] = (x[a] * y[b]).sum(axis=1) >= threshold
+    return out
+
+
 def _exact(threshold: float):
     def run(batches):
         for b in batches:
-            rows = [(i, j) for i, j, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True) if len(x) == len(y) and float(np.frombuffer(x) @ np.frombuffer(y)) >= threshold]
-            a, o = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], ["a", "b"])
+            for k in range(0, len(b), DENSE_BLOCK):
+                part = b.slice(k, DENSE_BLOCK)
+                lens, other = pc.binary_length(part.column(2)).to_numpy(), pc.binary_length(part.column(3)).to_numpy()
+                for width in np.unique(lens):
+                    own = part.filter(pa.array((lens == width) & (other == width)))
+                    near = (_matrix(own.column(2)) * _matrix(own.column(3))).sum(axis=1) >= threshold if len(own) else []
+                    yield own.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -225,7 +238,8 @@ def _counted(threshold: float):
                 back, backlinks, forest = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64), []
                 for lo in range(0, len(left), DENSE_BLOCK):
                     part = left[lo : lo + DENSE_BLOCK]
-                    near = np.frombuffer(b"".join(units[i] for i in part)).reshape(len(part), -1) @ y.T >= threshold
+                    x = np.frombuffer(b"".join(units[i] for i in part)).reshape(len(part), -1)
+                    near = _judged(x @ y.T, x, y, threshold)
                     near &= ids[part][:, None] != ids[right][None, :]
                     yield _counts(ids[part], near.sum(axis=1), near @ n[right])
                     if ci != cj:
@@ -333,10 +347,9 @@ def audit(nodes: DataFrame, linked: DataFrame, threshold: float, queries: int =
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, rounds: int = ROUNDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id and kept of every vector: vectors are linked where their cosine is >= threshold."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    units = written(rows.mapInArrow(_units, "id long, key binary, unit binary"), "units")
-    classes = written(units.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = units.join(classes.select("key", F.col("rep").alias("id"), "copies"), ["key", "id"]).dropDuplicates(["id"])
-    nodes = written(reps.select("id", "unit", "copies"), "nodes")
+    units = written(rows.mapInArrow(_units, "vec long, key binary, unit binary"), "units")
+    classes = units.filter("key is not null").groupBy("key").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.any_value("unit").alias("unit"))
+    nodes = written(classes.withColumn("id", F.monotonically_increasing_id()), "nodes")  # ids may repeat, classes don't
     for effort in EFFORTS:
         size = k * effort
         graph = descend(nodes.select("id", "unit"), size, rounds * effort, TABLES * effort, SORT_BLOCK * effort)
@@ -363,12 +376,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, rounds:
         comps = written(components(nodes, links.union(joins)), "comps")
     found = counted.select("id", "links").union(listed.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
     linked = nodes.select("id", "copies").join(found, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = linked.join(comps, "id").withColumnRenamed("id", "rep")
-    named = units.select("id", "key").join(classes.select("key", "rep"), "key").join(full, "rep").select("id", "n_links", "component").dropDuplicates(["id"])
-    out = rows.select("id").join(named, "id", "left")
+    named = nodes.select("id", "key", "vec").join(linked, "id").join(comps, "id")
+    least = named.groupBy("component").agg(F.min("vec").alias("component_id"))
+    out = units.select("vec", "key").join(named.join(least, "component").select("key", "n_links", "component_id"), "key", "left")
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("vec").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component", "id")).alias("kept"),
+        F.coalesce("component_id", "vec").alias("component_id"),
+        F.col("vec").eqNullSafe(F.coalesce("component_id", "vec")).alias("kept"),
     )

@@ -169,3 +169,37 @@ def test_audit_counts_each_vector_alike(spark):
     nodes = spark.createDataFrame([(i, r.tobytes(), 1000 if i < 40 else 1) for i, r in enumerate(u)], "id long, unit binary, copies long")
     lost = spark.createDataFrame([(i, 39 if i < 40 else 0) for i in range(80)], "id long, n_links long")
     assert audit(nodes, lost, 0.9) == 0.5
+
+
+def test_repeated_ids_with_other_vectors_keep_their_links(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (1, [1.0, 0.0])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False)]
+
+
+def test_a_pair_within_rounding_is_judged_one_way():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 33))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = (x[3] * x[7]).sum()
+    for t in (exact, np.nextafter(exact, 1), np.nextafter(exact, -1)):
+        for a, b in ((x, x), (x[:9], x[5:8])):
+            near = nn._judged(a @ b.T, a, b, t)
+            assert near[3, 7 if len(b) > 7 else 2] == (exact >= t)
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_words_with_the_same_polynomial_hash_differ(spark):
+    bits = thue_morse(1024)
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    got = mh.near_duplicates(spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "doc_id long, text string"), k=3, percent=85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_large_intersections_are_counted_in_whole_numbers():
+    shared = np.arange(700_000)
+    got = mh.intersections([shared], [np.concatenate([shared, [-1]])])
+    assert got.dtype == np.int64 and (100 * got).tolist() == [[70_000_000]]
