@@ -9,7 +9,8 @@ a batched lattice (no piece holds a blank after its first character or a line en
 A giant text is cut into chunks at any character. A chunk's boundary state is how far the piece that crosses
 its end reaches into the next chunk. Then:
   1. each chunk yields its transfer matrix (best sum from each entry state to each exit state);
-  2. matrices are combined by an associative max-plus scan into the sums with which each chunk is entered;
+  2. matrices are combined by an associative max-plus scan, a tree of groups of FAN, into the sums with which each
+     chunk is entered;
   3. each chunk maps its exit states to entry states; the maps, composed from the end, fix every boundary;
   4. each chunk is traced back by itself.
 The result equals that of one pass over the text, piece by piece.
@@ -27,18 +28,20 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_of, written
+from factloom.llm.common import bodies_of, written
 from factloom.llm.shingles import mix64, powers, random_words, small_batches
 
 BLANK = "▁"
 GIANT_CHARS = 1 << 16
 CHUNK_CHARS = 4096
+FAN = 64
 MEMO_WORDS = 300_000
 FLOOR = -(10**9)
 NONE = np.int64(-(1 << 61))
@@ -70,6 +73,8 @@ class Vocabulary:
         self.scores[n] = self.scores[ordinary].min() - 10
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self.is_byte = np.zeros(n, dtype=bool)
+        self.is_byte[self.bytes] = True
         self.longest = max(len(self.pieces[i]) for i in ordinary)
         inner = [self.pieces[i] for i in ordinary]
         self.by_word = not any("\n" in p or " " in p or BLANK in p.lstrip(BLANK) for p in inner)
@@ -174,17 +179,14 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids."""
-        out, run = [], bytearray()
-        for i in ids.tolist():
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(self.pieces[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
+        out, at = [], 0
+        spelled = np.flatnonzero(self.is_byte[ids])
+        for run in np.split(spelled, np.flatnonzero(np.diff(spelled) > 1) + 1) if len(spelled) else []:
+            lo, hi = int(run[0]), int(run[-1]) + 1
+            out += map(self.pieces.__getitem__, ids[at:lo].tolist())
+            out.append(bytes(self.byte_of[i] for i in ids[lo:hi].tolist()).decode("utf-8", "replace"))
+            at = hi
+        out += map(self.pieces.__getitem__, ids[at:].tolist())
         return "".join(out).replace(BLANK, " ")[1:]
 
 
@@ -269,18 +271,44 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return s.max(axis=2)
 
 
-def scan(m: np.ndarray) -> np.ndarray:
-    """All prefix products of a stack of matrices, by doubling."""
-    out, step = m.copy(), 1
-    while step < len(out):
-        out[step:] = product(out[:-step], out[step:])
-        step *= 2
-    return out
+def total(m: np.ndarray) -> np.ndarray:
+    """The product of a stack of matrices, by halving."""
+    while len(m) > 1:
+        odd = m[-1:] if len(m) % 2 else m[:0]
+        m = np.concatenate([product(m[: len(m) - len(odd) : 2], m[1::2]), odd])
+    return m[0]
+
+
+def entries_of(first: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The sums with which each of a stack of matrices is entered, given those of the first."""
+    out = [first]
+    for x in m[:-1]:
+        out.append(product(out[-1][None, None, :], x[None])[0, 0])
+    return np.stack(out)
 
 
 # --- giant texts in Spark -----------------------------------------------------------
 
 
+def _chunks(chunk: int, halo: int):
+    """uid, at, chunk (with the halo behind it) and size of each chunk of prepared texts."""
+
+    def run(batches):
+        for b in batches:
+            for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = prepared(text)
+                for lo in range(0, len(text), 64 * chunk):
+                    at = range(lo, min(len(text), lo + 64 * chunk), chunk)
+                    yield pa.RecordBatch.from_pydict({
+                        "uid": pa.array([uid] * len(at), pa.int64()),
+                        "at": pa.array([i // chunk for i in at], pa.int32()),
+                        "chunk": [text[i : i + chunk + halo] for i in at],
+                        "size": pa.array([min(chunk, len(text) - i) for i in at], pa.int32()),
+                    })
+
+    return run
+
+
 def _chunk_batches(batches, v: Vocabulary, rows: int = 32):
     for b in batches:
         for i in range(0, len(b), rows):
@@ -309,19 +337,49 @@ def _matrices(path: str):
     return run
 
 
-def _entered(path: str):
+def _stack(column, width: int) -> np.ndarray:
+    return np.stack([np.frombuffer(x, dtype="<i8").reshape(-1, width) for x in column])
+
+
+def _product(width: int):
+    def run(pdf):
+        m = total(_stack(pdf.sort_values("at")["matrix"], width))
+        return pdf.head(1)[["uid", "up"]].rename(columns={"up": "at"}).assign(matrix=[m.astype("<i8").tobytes()])
+
+    return run
+
+
+def _entered(width: int):
     def run(pdf):
-        v = vocabulary_of(path)
         pdf = pdf.sort_values("at")
-        m = np.stack([np.frombuffer(x, dtype="<i8").reshape(v.longest, v.longest) for x in pdf["matrix"]])
-        sums = np.full((len(m), v.longest), NONE)
-        sums[0, 0] = 0
-        sums[1:] = scan(m)[:-1, 0]
-        return pdf[["uid", "at"]].assign(entry=[x.astype("<i8").tobytes() for x in sums])
+        first = np.frombuffer(pdf["first"].iloc[0], dtype="<i8")
+        return pdf[["uid", "at"]].assign(entry=[x.astype("<i8").tobytes() for x in entries_of(first, _stack(pdf["matrix"], width))])
 
     return run
 
 
+def scan(matrices: DataFrame, width: int, most: int) -> DataFrame:
+    """(uid, at, entry): the sums with which each chunk is entered, from (uid, at, matrix) with at < most.
+
+    Up the tree, each group of FAN neighbours becomes one product, until a text is one group; down again, each
+    group's first entry gives those of its members. No task holds more than FAN matrices of a text.
+    """
+    up = (F.col("at") / FAN).cast("int").alias("up")
+    levels = [matrices]
+    while most > FAN:
+        products = levels[-1].select("uid", "at", "matrix", up).groupBy("uid", "up").applyInPandas(_product(width), "uid long, at int, matrix binary")
+        levels.append(written(products, "products"))
+        most = -(-most // FAN)
+    start = np.full(width, NONE)
+    start[0] = 0
+    firsts = levels[-1].select("uid", F.lit(0).alias("up"), F.lit(start.astype("<i8").tobytes()).alias("first")).distinct()
+    for level in reversed(levels):
+        grouped = level.select("uid", "at", "matrix", up).join(firsts, ["uid", "up"]).groupBy("uid", "up")
+        entries = written(grouped.applyInPandas(_entered(width), "uid long, at int, entry binary"), "entries")
+        firsts = entries.toDF("uid", "up", "first")
+    return entries
+
+
 def _solved(path: str, part, lens, ids):
     v = vocabulary_of(path)
     entry = np.stack([np.frombuffer(x, dtype="<i8") for x in part.column("entry").to_pylist()])
@@ -360,38 +418,57 @@ def _traced(path: str):
     return run
 
 
+def _stitched(batches):
+    """The ids of each text (uid) from those of its chunks, which come in order."""
+    held, last = [], None
+    for b in batches:
+        for uid, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if held and uid != last:
+                yield pa.RecordBatch.from_pydict({"uid": pa.array([last], pa.int64()), "ids": pa.array([b"".join(held)], pa.binary())})
+                held = []
+            held.append(ids)
+            last = uid
+    if held:
+        yield pa.RecordBatch.from_pydict({"uid": pa.array([last], pa.int64()), "ids": pa.array([b"".join(held)], pa.binary())})
+
+
 def _encoded(path: str):
     def run(batches):
         v = vocabulary_of(path)
         for b in small_batches(batches, rows=1024):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.encode(b.column(1).to_pylist()), pa.binary()), b.column(2)], ["id", "ids", "text_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.encode(b.column(1).to_pylist()), pa.binary())], ["id", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, model: str, giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (binary, little-endian, 2 bytes an id up to 65,535 pieces, else 4) and text_crc32 of every document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("body"))
-    crc = F.crc32("body").alias("text_crc32")
-    small = rows.filter(F.length("body") <= giant_chars).select("id", "body", crc).mapInArrow(_encoded(model), "id long, ids binary, text_crc32 long")
-    halo = vocabulary_of(model).longest - 1
-    giant = written(rows.filter(F.length("body") > giant_chars).select("id", F.concat(F.lit(BLANK), F.translate("body", " ", BLANK)).alias("body"), crc, F.monotonically_increasing_id().alias("uid")), "giant")
-    many = F.ceil(F.length("body") / chunk_chars).cast("int")
-    chunks = giant.select("uid", "body", F.explode(F.sequence(F.lit(0), many - 1)).alias("at")).select(
-        "uid",
-        "at",
-        F.expr(f"substring(body, at * {chunk_chars} + 1, {chunk_chars + halo})").alias("chunk"),
-        F.least(F.lit(chunk_chars), F.length("body") - F.col("at") * chunk_chars).alias("size"),
-    )
-    chunks = written(chunks.repartition("uid", "at"), "chunks")
-    keys = ["uid", "at"]
-    matrices = chunks.mapInArrow(_matrices(model), "uid long, at int, matrix binary")
-    entries = written(matrices.groupBy("uid").applyInPandas(_entered(model), "uid long, at int, entry binary"), "entries")
-    entered = chunks.join(entries, keys)
+def _giant_ids(rows: DataFrame, model: str, chunk_chars: int) -> DataFrame:
+    """id, body and ids of giant texts (id, body) by the scan over their chunks."""
+    width, keys = vocabulary_of(model).longest, ["uid", "at"]
+    giant = written(rows.withColumn("uid", F.monotonically_increasing_id()), "giant")
+    chunks = giant.select("uid", "body").mapInArrow(_chunks(chunk_chars, width - 1), "uid long, at int, chunk string, size int")
+    chunks = written(chunks.repartition(*keys), "chunks")
+    most = chunks.agg(F.max("at")).first()[0]
+    if most is None:
+        return giant.select("id", "body", F.lit(b"").alias("ids"))
+    matrices = written(chunks.mapInArrow(_matrices(model), "uid long, at int, matrix binary"), "matrices")
+    entered = chunks.join(scan(matrices, width, most + 1), keys)
     exits = entered.mapInArrow(_maps(model), "uid long, at int, back array<int>").groupBy("uid").applyInPandas(_bounds, "uid long, at int, exit int")
     parts = entered.join(written(exits, "exits"), keys).mapInArrow(_traced(model), "uid long, at int, ids binary")
-    whole = parts.groupBy("uid").agg(F.expr("aggregate(array_sort(collect_list(struct(at, ids))), cast('' as binary), (s, x) -> s || x.ids)").alias("ids"))
-    return small.unionByName(giant.select("uid", "id", "text_crc32").join(whole, "uid").select("id", "ids", "text_crc32")).withColumnRenamed("id", id_col)
+    whole = parts.repartition("uid").sortWithinPartitions(*keys).mapInArrow(_stitched, "uid long, ids binary")
+    return giant.join(whole, "uid").select("id", "body", "ids")
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str, giant_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The ordinary and the giant texts as (id, body)."""
+    rows = bodies_of(docs, id_col, text_col)
+    return rows.filter(F.length("body") <= giant_chars), rows.filter(F.length("body") > giant_chars)
+
+
+def encode(docs: DataFrame, model: str, giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and ids (binary, little-endian, 2 bytes an id up to 65,535 pieces, else 4) of every document."""
+    small, giant = _split(docs, id_col, text_col, giant_chars)
+    small = small.mapInArrow(_encoded(model), "id long, ids binary")
+    return small.union(_giant_ids(giant, model, chunk_chars).select("id", "ids")).withColumnRenamed("id", id_col)
 
 
 def _decoded(path: str):
@@ -413,12 +490,39 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     return encoded.select(ids_col, *[f.name for f in rest]).mapInArrow(_decoded(model), schema)
 
 
-def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text back) and, if asked for, the ids."""
-    width = vocabulary_of(model).dtype.itemsize
-    ids = encode(docs, model, id_col=id_col, text_col=text_col)
-    wide = F.col("ids") if width == 4 else F.unhex(F.regexp_replace(F.hex("ids"), "(.{4})", "$10000"))
-    kept = [F.col("ids").alias("kept_ids")] if keep_ids else []
-    sized = ids.select(id_col, "ids", *kept, "text_crc32", F.crc32(wide).alias("ids_crc32"), (F.length("ids") / width).cast("long").alias("n_ids"))
-    back = decode(sized, model)
-    return back.select(id_col, "n_ids", "ids_crc32", (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"), *([F.col("kept_ids").alias("ids")] if keep_ids else []))
+_REPORT = "id long, n_ids long, ids_crc32 long, round_trip boolean, ids binary"
+
+
+def _report(v: Vocabulary, ids: pa.Array, texts: list[str], coded: list[bytes], keep_ids: bool) -> pa.RecordBatch:
+    cut = [np.frombuffer(x, dtype=v.dtype) for x in coded]
+    return pa.RecordBatch.from_arrays(
+        [
+            ids,
+            pa.array([len(x) for x in cut], pa.int64()),
+            pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], pa.int64()),
+            pa.array([v.decode(x) == t for x, t in zip(cut, texts, strict=True)], pa.bool_()),
+            pa.array(coded, pa.binary()) if keep_ids else pa.nulls(len(ids), pa.binary()),
+        ],
+        ["id", "n_ids", "ids_crc32", "round_trip", "ids"],
+    )
+
+
+def _checked(path: str, keep_ids: bool):
+    """The report on each (id, body), encoded here, or (id, body, ids)."""
+
+    def run(batches):
+        v = vocabulary_of(path)
+        for b in small_batches(batches, rows=1024):
+            texts = b.column(1).to_pylist()
+            yield _report(v, b.column(0), texts, b.column(2).to_pylist() if b.num_columns > 2 else v.encode(texts), keep_ids)
+
+    return run
+
+
+def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (whether the decoded ids are the
+    text) and, if asked for, the ids. Ordinary texts are encoded and decoded by one worker, so ids don't travel twice."""
+    small, giant = _split(docs, id_col, text_col, giant_chars)
+    check = _checked(model, keep_ids)
+    out = small.mapInArrow(check, _REPORT).union(_giant_ids(giant, model, chunk_chars).mapInArrow(check, _REPORT))
+    return out.withColumnRenamed("id", id_col).select(id_col, "n_ids", "ids_crc32", "round_trip", *(["ids"] if keep_ids else []))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -117,14 +118,19 @@ def test_words_equal_one_pass_and_the_library(spark):
 def test_scan_is_associative():
     rng = np.random.default_rng(0)
     m = rng.integers(-50, 0, (7, 4, 4))
-    got, one = sp.scan(m), m[:1]
-    for i in range(7):
-        one = m[i : i + 1] if i == 0 else sp.product(one, m[i : i + 1])
-        assert (got[i] == one[0]).all()
+    for n in range(1, 8):
+        one = m[:1]
+        for i in range(1, n):
+            one = sp.product(one, m[i : i + 1])
+        assert (sp.total(m[:n]) == one[0]).all()
+        first = np.full(4, sp.NONE)
+        first[0] = 0
+        assert (sp.product(sp.entries_of(first, m[:n])[-1][None, None, :], m[n - 1 : n])[0, 0] == one[0][0]).all()
 
 
 @pytest.mark.parametrize("giant, chunk", [(20, 7), (50, 64)])
-def test_chunks_equal_one_pass(spark, giant, chunk):
+def test_chunks_equal_one_pass(spark, monkeypatch, giant, chunk):
+    monkeypatch.setattr(sp, "FAN", 3 if chunk == 7 else 64)
     v = sp.vocabulary_of(MODEL)
     rows = [(i, t, "x") for i, t in enumerate([*ODD, None, "thermodynamics" * 20 + "\n" + "ab " * 40])]
     got = sp.encode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), MODEL, giant_chars=giant, chunk_chars=chunk).collect()
@@ -133,8 +139,16 @@ def test_chunks_equal_one_pass(spark, giant, chunk):
 
 def test_round_trip(spark):
     rows = [(i, t) for i, t in enumerate([*ODD, None])]
-    got = sp.encode_and_check(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, keep_ids=True).collect()
-    assert len(got) == len(rows) and all(r.round_trip for r in got)
+    rows += rows[:3] + [(None, "null id"), (99, "a \u2581 b")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string")
+    for giant in (1 << 16, 10):
+        got = sp.encode_and_check(df, MODEL, keep_ids=True, giant_chars=giant, chunk_chars=16).collect()
+        assert len(got) == len(rows) and all(r.round_trip == (r.doc_id != 99) for r in got)
+        by_id = {r.doc_id: r for r in got}
+        v = sp.vocabulary_of(MODEL)
+        for (i, t), ids in zip(rows, v.encode([t or "" for _, t in rows]), strict=True):
+            assert (bytes(by_id[i].ids), by_id[i].n_ids) == (ids, len(ids) // 2)
+            assert by_id[i].ids_crc32 == zlib.crc32(np.frombuffer(ids, v.dtype).astype("<u4").tobytes())
     assert sp.encode_and_check(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
 
 
