@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Bits of a fixed-size id filter: 8 MB whatever the input. A fuller filter only passes more rows on to the exact join behind it.
 FILTER_BITS = 1 << 26
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
@@ -39,6 +42,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def bodies_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, body) of documents, for Python workers: unless the session sets its own bound, its Arrow batches hold
+    BATCH_BYTES at most (or one row) from here on, however long the texts are."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("body"))
+
+
 class KeyFilter:
     """A Bloom filter of bounded size over a key column, built by a distributed bit_or and held as one array.
 

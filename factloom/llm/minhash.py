@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import KeyFilter, components, text_of, written
+from factloom.llm.common import KeyFilter, bodies_of, components, written
 from factloom.llm.shingles import mix64, random_words, shingle_sets, small_batches
 
 UNIVERSE = 1 << 20
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """id, n_shingles, component_id and kept for each document: documents are linked where
     100 * intersection >= percent * union of their k-word shingle sets, and the smallest id of a component stays."""
     bands, rows = bands_for(percent)
-    bodies = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("body"))
+    bodies = bodies_of(docs, id_col, text_col)
     signed = written(bodies.mapInArrow(_banded(k, bands, rows), "id long, n long, set_key binary, buckets array<long>"), "signed")
 
     named = signed.filter("set_key is not null and id is not null")
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     involved = written(shared.select("id").distinct(), "involved")
     held = KeyFilter(involved, "id")
-    sets = bodies.filter(held.may_contain(F.col("id"))).join(involved, "id", "left_semi")
+    sets = bodies.filter(held.may_contain(F.col("id"))).join(involved.hint("merge"), "id", "left_semi")  # the shuffle parts the filter's Python from that of the sets
     sets = written(sets.select("id", "body").mapInArrow(_sets(k), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
     pairs = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import KeyFilter, text_of, written
+from factloom.llm.common import KeyFilter, bodies_of, written
 from factloom.llm.shingles import mix64, powers, random_words, utf8
 
 LENGTH, GRAM, CROWD = 200, 100, 20_000
@@ -314,7 +314,7 @@ def _filter_bits(n: int) -> int:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, lo, hi): the byte ranges of each document covered by repeated strings, before merging. h is the text's hash."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("body")).filter(F.octet_length("body") >= length)
+    rows = bodies_of(docs, id_col, text_col).select("id", F.xxhash64("body").alias("h"), "body").filter(F.octet_length("body") >= length)
     seen = rows.select("body").mapInArrow(_anchors(length, gram), "anchor long, head long, tail long")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("head", "tail") for f in (F.min, F.max)]
     counted = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1")
@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (flat array of lo, hi) of each document."""
     spans = repeated_spans(docs, length, gram, crowd, id_col, text_col)
     spans = written(spans.groupBy(F.col("id").alias("sid"), "h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("body"))
+    rows = bodies_of(docs, id_col, text_col).select("id", F.xxhash64("body").alias("h"), "body")
     held = KeyFilter(spans, "h")
     marked = rows.withColumn("doubt", held.may_contain(F.col("h")))
     untouched = lambda df: df.select("id", F.octet_length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), F.array().cast("array<int>").alias("spans"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh_dir, text_of, written
+from factloom.llm.common import bodies_of, fresh_dir, written
 from factloom.llm.shingles import small_batches
 
 MAGIC = b"IDSHARD1"
@@ -292,7 +292,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, folder: str | None = None,
     `start`, the ids of all shards before it) and the folder."""
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "ids")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("body"))
+    rows = bodies_of(docs, id_col, text_col)
     dealt = rows.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("body")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("body"))
     made = written(dealt.mapInArrow(_write_shard(folder, tokenizer, end_id), _MANIFEST).withColumn("part", F.spark_partition_id()), "manifest")
     start, listed = 0, []
