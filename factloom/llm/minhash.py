@@ -33,8 +33,8 @@ from factloom.llm.shingles import mix64, random_words, shingle_sets, small_batch
 UNIVERSE = 1 << 20
 COORDINATES = 128
 #: A block of a bucket has about so many sets, and so many shingles in all its sets, at most.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
-COLUMNS = 4096
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+COLUMNS, ROWS = 2048, 256
 
 
 def bands_for(percent: int, coordinates: int = COORDINATES) -> tuple[int, int]:
@@ -135,12 +135,12 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     row, column = row[keep], place[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    out = np.zeros((len(left), len(right)), dtype=np.int32)
     for lo in range(0, int(shared.sum()), COLUMNS):
         i, j = np.searchsorted(column, [lo, lo + COLUMNS])
         block = np.zeros((len(sizes), min(COLUMNS, int(shared.sum()) - lo)), dtype=np.float32)
         block[row[i:j], column[i:j] - lo] = 1
-        out += (block[: len(left)] @ block[len(left) :].T).astype(np.int64)  # at most COLUMNS each, so exact in single precision
+        out += (block[: len(left)] @ block[len(left) :].T).astype(np.int32)  # at most COLUMNS each, so exact in single precision
     return out
 
 
@@ -159,8 +159,6 @@ def _linked(percent: int):
             n = np.diff(offsets)
             rows = [sets[i] for i in left]
             common = intersections(rows, [sets[i] for i in right]) if bi != bj else intersections(rows, rows)
-            union = n[left][:, None] + n[right][None, :] - common
-            a, b = np.nonzero((100 * common >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
             head: dict[int, int] = {}
 
             def root(x: int, head=head) -> int:
@@ -170,11 +168,15 @@ def _linked(percent: int):
                 return x
 
             out = []
-            for i, j in zip(left[a].tolist(), right[b].tolist(), strict=True):
-                x, y = root(int(comp[i])), root(int(comp[j]))
-                if x != y:
-                    head[max(x, y)] = min(x, y)
-                    out.append((int(ids[i]), int(ids[j])))
+            for lo in range(0, len(left), ROWS):
+                part, inter = left[lo : lo + ROWS], common[lo : lo + ROWS].astype(np.int64)
+                union = n[part][:, None] + n[right][None, :] - inter
+                a, b = np.nonzero((100 * inter >= percent * union) & (comp[part][:, None] != comp[right][None, :]))
+                for i, j in zip(part[a].tolist(), right[b].tolist(), strict=True):
+                    x, y = root(int(comp[i])), root(int(comp[j]))
+                    if x != y:
+                        head[max(x, y)] = min(x, y)
+                        out.append((int(ids[i]), int(ids[j])))
             if out:
                 x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
