@@ -33,7 +33,7 @@ def normalize_canonical(spark, sf_dir):
 
 @query(
     f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(lower({_CANON.format("text")}), 'rs\\.?|inr', 'rs', 'g'), '\\bcrores?\\b|\\bcr\\b', 'crore', 'g'), '\\blakhs?\\b|\\bl\\b', 'lakh', 'g')) AS form
-FROM documents WHERE lang = 'en'"""
+FROM documents"""
 )
 def normalize_verification(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.verification_form(F.col("text"))).alias("form"))
@@ -46,6 +46,9 @@ def quote_search(spark, sf_dir):
     return V.quotes_on_pages(docs, quotes).select(F.col("page_id").alias("doc_id"), F.col("quote_id").alias("item_id"), F.col("start").cast("long").alias("start"))
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _proposals(spark, sf_dir):
     """Proposed facts over documents as pages: a stretch of the page as quote (or a stranger's), with a planted value."""
     docs = table(spark, sf_dir, "documents")
@@ -53,7 +56,7 @@ def _proposals(spark, sf_dir):
     quote = (
         F.when(k == 0, F.substring("text", 11, 40))
         .when(k == 1, F.concat(F.lit("9. "), F.substring("text", 1, 30)))
-        .when(k == 2, F.upper(F.substring("text", 5, 40)))
+        .when(k == 2, F.translate(F.substring("text", 5, 40), _SMALL, _SMALL.upper()))
         .when(k == 3, F.substring("text", 3, 30))
         .when(k == 4, F.substring("text", 1, 50))
         .otherwise(F.substring("text", 20, 20))
@@ -69,11 +72,11 @@ def _proposals(spark, sf_dir):
     return facts, docs.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), text.alias("text"))
 
 
-_CHAIN = """WITH p AS (SELECT doc_id, doc_id % 6 AS k, CASE WHEN doc_id % 6 = 1 THEN '9. ' || text ELSE text END AS page_text, text FROM documents WHERE length(text) > 80 AND lang = 'en'),
-f AS (SELECT *, CASE k WHEN 0 THEN substr(text, 11, 40) WHEN 1 THEN '9. ' || substr(text, 1, 30) WHEN 2 THEN upper(substr(text, 5, 40)) WHEN 3 THEN substr(text, 3, 30) WHEN 4 THEN substr(text, 1, 50) ELSE substr(text, 20, 20) END AS quote FROM p),
+_CHAIN = """WITH p AS (SELECT doc_id, doc_id % 6 AS k, CASE WHEN doc_id % 6 = 1 THEN '9. ' || text ELSE text END AS page_text, text FROM documents),
+f AS (SELECT *, CASE k WHEN 0 THEN substr(text, 11, 40) WHEN 1 THEN '9. ' || substr(text, 1, 30) WHEN 2 THEN translate(substr(text, 5, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 3 THEN substr(text, 3, 30) WHEN 4 THEN substr(text, 1, 50) ELSE substr(text, 20, 20) END AS quote FROM p),
 v AS (SELECT doc_id AS document_id, CASE
-  WHEN doc_id % 11 = 0 THEN 'PAGE_TEXT_MISSING'
-  WHEN NOT (contains(page_text, quote) OR contains({pc}, {qc}) OR contains(lower({pc}), lower({qc}))) THEN 'QUOTE_NOT_ON_SINGLE_PAGE'
+  WHEN doc_id % 11 = 0 OR coalesce(page_text, '') = '' THEN 'PAGE_TEXT_MISSING'
+  WHEN coalesce(quote, '') = '' OR NOT (contains(page_text, quote) OR contains({pc}, {qc}) OR contains(lower({pc}), lower({qc}))) THEN 'QUOTE_NOT_ON_SINGLE_PAGE'
   WHEN k = 1 THEN 'HEADING_NUMBER'
   WHEN k = 3 AND NOT contains(quote, '77123') THEN 'VALUE_NOT_IN_QUOTE'
   WHEN k = 4 AND doc_id % 12 <> 4 THEN 'MISSING_REQUIRED_UNIT'
@@ -205,7 +208,7 @@ def document_class(spark, sf_dir):
 
 
 @query(
-    r"""WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(replace(text, ',', ''), '[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?'), lambda x: try_cast(x AS DOUBLE)) AS v FROM documents WHERE length(text) < 2000)
+    r"""WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(replace(text, ',', ''), '[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?'), lambda x: try_cast(x AS DOUBLE)) AS v FROM documents)
 SELECT doc_id, len(v)::INT AS n, round(coalesce(list_sum(list_filter(v, lambda x: abs(x) < 1e9)), 0), 3) AS total FROM n"""
 )
 def number_extraction(spark, sf_dir):

@@ -114,7 +114,7 @@ def _token_rows(spark, sf_dir):
 
 
 @query(
-    r"""WITH d AS (SELECT * FROM documents WHERE length(text) < 1000),
+    r"""WITH d AS (SELECT * FROM documents),
 t AS (SELECT doc_id AS page, unnest(string_split_regex(text, '\s+')) AS token, generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 AS pos FROM d),
 k AS (SELECT page, pos, regexp_replace(lower(token), '[^a-z0-9]', '', 'g') AS key, (60 + (pos * 7 + page) % 40)::DOUBLE AS c FROM t),
 w AS (SELECT DISTINCT doc_id, regexp_replace(lower(unnest(string_split_regex(array_to_string(string_split(text, ' ')[1:3], ' '), '\s+'))), '[^a-z0-9]', '', 'g') AS word FROM d),
@@ -247,7 +247,7 @@ def file_sniff(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT doc_id % 20 AS sample_id, doc_id % 50 AS l FROM documents WHERE doc_id % 2 = 0), x AS (SELECT doc_id % 20 AS sample_id, doc_id % 60 AS l, quality = 1 AS verified FROM labels),
+    """WITH e AS (SELECT doc_id % 20 AS sample_id, doc_id % 50 AS l FROM documents), x AS (SELECT doc_id % 20 AS sample_id, doc_id % 60 AS l, quality = 1 AS verified FROM labels),
 h AS (SELECT e.sample_id, count(*) AS wanted, count(*) FILTER (EXISTS (SELECT 1 FROM x WHERE x.sample_id = e.sample_id AND x.l = e.l AND x.verified)) AS found FROM e GROUP BY 1),
 f AS (SELECT sample_id, count(*) AS n, count(*) FILTER (verified) AS ok FROM x GROUP BY 1),
 j AS (SELECT coalesce(h.sample_id, f.sample_id) AS sample_id, coalesce(ok / nullif(n, 0)::DOUBLE, 1) AS p, coalesce(found / nullif(wanted, 0)::DOUBLE, 1) AS r FROM h FULL JOIN f ON h.sample_id = f.sample_id)
@@ -261,7 +261,7 @@ def eval_prf(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT vec_id AS question_id, (vec_id * 7) % 30 AS gold FROM embeddings WHERE vec_id < 200), k AS (SELECT question_id, gold, unnest(range(1, 11)) AS rank FROM r), h AS (SELECT question_id, bool_or(rank <= 8 AND abs((question_id * rank) % 30 - gold) <= 1) AS hit FROM k GROUP BY 1)
+    """WITH r AS (SELECT vec_id AS question_id, (vec_id * 7) % 30 AS gold FROM embeddings), k AS (SELECT question_id, gold, unnest(range(1, 11)) AS rank FROM r), h AS (SELECT question_id, bool_or(rank <= 8 AND abs((question_id * rank) % 30 - gold) <= 1) AS hit FROM k GROUP BY 1)
 SELECT round(avg(hit::INT), 8) AS recall FROM h"""
 )
 def recall_at_k(spark, sf_dir):
