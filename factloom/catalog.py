@@ -14,6 +14,7 @@ MODULES = (
     "factloom.operators.fact_queries",
     "factloom.operators.world_queries",
     "factloom.operators.model_queries",
+    "factloom.operators.view_queries",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
