@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Bits of a fixed-size id filter: 8 MB whatever the input. A fuller filter only passes more rows on to the exact join behind it.
 FILTER_BITS = 1 << 26
 
+EDGES_A_FILE = 20_000
 #: Bytes of an Arrow batch of texts.
 BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -114,19 +115,23 @@ def without_keys(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id", rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star rounds over (a, b) edges.
+    """Connected components by alternating large-star and small-star rounds over (a, b) edges, a written table.
 
     Returns (id_col, component) with the smallest reachable id, itself included. Each round is a grouped
-    minimum, so no component ever meets in one task, and a round's edges are written before the next.
+    minimum, so no component ever meets in one task, and a round's edges are written before the next, in files
+    of about EDGES_A_FILE. Rounds grow with the logarithm of the longest chain; an unfinished result is an error.
     """
-    e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    files = max(1, -(-edges.count() // EDGES_A_FILE))
+    e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct().coalesce(files), "edges")
     mark = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     state = mark(e)
     for _ in range(rounds):
-        e = written(_small_star(_large_star(e)), "edges")
+        e = written(_small_star(_large_star(e)).coalesce(files), "edges")
         last, state = state, mark(e)
         if state == last:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = e.groupBy(F.col("b").alias(id_col)).agg(F.min("a").alias("component"))
     return nodes.select(id_col).join(roots, id_col, "left").select(id_col, F.coalesce("component", id_col).alias("component"))
 

@@ -96,6 +96,8 @@ def test_components(spark):
     nodes = sorted({x for e in edges for x in e} | {999})
     got = components(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "a long, b long"))
     assert {r.id: r.component for r in got.collect()} == roots(nodes, edges)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "a long, b long"), rounds=1)
 
 
 def test_near_vectors_match_brute_force(spark):
