@@ -27,7 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import components, written
@@ -127,9 +127,15 @@ def _neighbours_in_order(k: int, window: int):
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
-    """(id, near): each node's k best distinct others as structs (sim, other)."""
+    """(id, near): each node's k best distinct others as structs (sim, other).
+
+    The rank limit also holds in each task before the shuffle, so a node that is near to very many
+    brings at most k rows of a task with it.
+    """
     once = pairs.groupBy("id", "other").agg(F.max("sim").alias("sim"))
-    return once.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "other")), asc=False), 1, k).alias("near"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.desc("other")))
+    best = once.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sim", "other")), asc=False).alias("near"))
 
 
 def _joined(k: int):
