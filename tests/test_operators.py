@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,28 @@ def _facts(spark, data):
     return spark.createDataFrame([tuple(d[c.split()[0]] for c in schema.split(", ")) for d in made], schema)
 
 
+@pytest.mark.parametrize("accuracy", [1, 10_000])
+def test_order_statistics_against_sorting(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(tab, "ACCURACY", accuracy)  # poor cuts cost time only
+    rng = random.Random(3)
+    sets = {
+        "one": [5.0],
+        "two": [2.0, -7.5],
+        "same": [1.0] * 400,
+        "ties": [float(rng.randrange(4)) for _ in range(401)],
+        "spread": [rng.lognormvariate(0, 9) for _ in range(1000)],
+        "nan": [float("nan")] * 3 + [0.0] * 2,
+    }
+    for values in sets.values():
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        got = tab.quartiles(df).join(tab.medians(df), "column").first()
+        ranked, n = sorted(values, key=lambda v: (v != v, v)), len(values)
+        a, b = ranked[(n - 1) // 2], ranked[n // 2]
+        want = (ranked[n // 4], ranked[3 * n // 4], a if a == b else 0.5 * a + 0.5 * b)
+        assert [repr(x) for x in (got["q1"], got["q3"], got["median"])] == [repr(x) for x in want]
+    assert tab.medians(spark.createDataFrame([], "v double")).count() == 0
+
+
 def test_dominant_unit_ties_go_to_the_first_seen(spark):
     facts = _facts(spark, [{"unit": "km"}, {"unit": "crores"}, {"unit": "cr"}, {"unit": "km"}])
     assert {r.unit_name for r in A.dominant(facts).collect()} == {"km"}
