@@ -43,12 +43,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Unless the session sets its own bound, its Arrow batches hold BATCH_BYTES at most (or one row) from here on."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def bodies_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, body) of documents, for Python workers: unless the session sets its own bound, its Arrow batches hold
-    BATCH_BYTES at most (or one row) from here on, however long the texts are."""
-    conf = docs.sparkSession.conf
-    if conf.get(_BATCH, None) is None:
-        conf.set(_BATCH, str(BATCH_BYTES))
+    """(id, body) of documents, for Python workers, in bounded batches however long the texts are."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("body"))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from factloom.llm.exact_dedup import exact_dedup
+from factloom.llm.filter_audit import filter_audit
 from factloom.llm.language_id import identify_language
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import mix
 from factloom.llm.nn_descent import near_vectors
+from factloom.llm.periodic_runs import periodic_runs
 from factloom.llm.quality import quality_scores
 from factloom.llm.sentencepiece_scan import encode_and_check
+from factloom.llm.sharding import shard_documents
 from factloom.llm.suffix_dedup import remove_repeats
 from factloom.llm.token_ids import read_token_ids, write_token_ids
 from factloom.llm.url_filter import url_verdicts
@@ -141,3 +146,66 @@ FROM rows_ JOIN chance USING (source, lang, topic)"""
 
 
 ORACLES["op10_mixing"] = _mix_sql()
+
+
+def with_periodic_tails(docs):
+    """The documents of the run query: of a tenth of the ids, by their checksum, the words from place a on repeat p words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("g", F.floor(h / 10)).withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    chosen = chosen.withColumn("n", F.coalesce(F.size("w"), F.lit(0))).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    chosen = chosen.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    words = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a")))
+    return chosen.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumn("top", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.col2")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.col3")).alias("period"),
+        F.expr("1000 * top.length div -top.col3").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH marked AS (SELECT doc_id, max(coalesce(quality, 0)) = 1 AS good, max(coalesce(toxic, 0)) = 1 AS toxic FROM labels GROUP BY doc_id),
+words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+judged AS (
+  SELECT words.doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(words.doc_id > min(words.doc_id) OVER (PARTITION BY t), false) AS e,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM words LEFT JOIN marked USING (doc_id)),
+patterns AS (SELECT part, [a, b, c, d, e] AS f, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+paths AS (SELECT list_aggregate(list_transform(o, lambda x: substr('ABCDE', x, 1)), 'string_agg', '') AS filter_order, k.i AS step, o[k.i] AS own, o[1:k.i - 1] AS past FROM orders, letters k),
+counted AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails AND len(list_filter(f, lambda x: x)) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN NOT gone AND fails AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM (SELECT patterns.*, filter_order, step, own, f[own] AS fails, len(list_filter(past, lambda x: f[x])) > 0 AS gone FROM patterns, paths)
+  GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted"""
+
+
+@query
+def op13_sharding(spark, sf_dir):
+    return shard_documents(table(spark, sf_dir, "documents"))

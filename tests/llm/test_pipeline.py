@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run and set(entry.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mixing", "encoding"]
 
