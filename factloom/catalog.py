@@ -16,6 +16,7 @@ MODULES = (
     "factloom.operators.model_queries",
     "factloom.operators.view_queries",
     "factloom.operators.fulltext_queries",
+    "factloom.operators.vector_queries",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
