@@ -108,7 +108,7 @@ def write_cells(chunks: DataFrame, path: str, key: str, embedding: str = "embedd
     rows = _rows(chunks, key, embedding, None).select("k", "v")
     total = rows.count()
     cells = cells or max(1, min(MOST_CELLS, round(total**0.5)))
-    some = rows.orderBy(F.xxhash64("k"), "k").limit(sample).select(array_to_vector(_normal(F.col("v"))).alias("features"))
+    some = rows.orderBy(F.xxhash64("k"), "k").limit(sample).mapInArrow(_units, "v array<double>").select(array_to_vector("v").alias("features"))
     spark = chunks.sparkSession
     centres = KMeans(k=cells, seed=seed, maxIter=10, initMode="random", distanceMeasure="cosine").fit(some).clusterCenters() if total else []
     held = [(i, [float(x) for x in c / np.sqrt((c * c).sum())]) for i, c in enumerate(centres)]  # at most MOST_CELLS rows
@@ -117,16 +117,16 @@ def write_cells(chunks: DataFrame, path: str, key: str, embedding: str = "embedd
     files = max(1, -(-total // (max(1, cells) * 65_536)))
     near = near.repartition("cell", F.pmod(F.xxhash64("k"), F.lit(files)))
     near.write.partitionBy("cell").parquet(f"{path}/vectors")
-    angles = spark.read.schema(f"angle double, cell int").parquet(f"{path}/vectors").groupBy("cell").agg(F.max("angle").alias("angle"))
+    angles = spark.read.schema("angle double, cell int").parquet(f"{path}/vectors").groupBy("cell").agg(F.max("angle").alias("angle"))
     table = spark.createDataFrame(held, "cell int, centre array<double>").join(angles, "cell")
     table.coalesce(1).write.parquet(f"{path}/cells")
     spark.createDataFrame([(key, dict(rows.dtypes)["k"])], "key string, kind string").coalesce(1).write.parquet(f"{path}/meta")
 
 
-def _normal(v: Column) -> Column:
-    most = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / most)
-    return F.transform(scaled, lambda x: x / F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, y: s + y * y)))
+def _units(batches):
+    for b in batches:
+        m = _unit(pa.chunked_array([b.column(1)]))
+        yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))], names=["v"])
 
 
 def _nearest(centres: np.ndarray):
