@@ -14,7 +14,8 @@ COLUMN_ITEMS, COLUMN_SHARE = 5, 0.75
 HEADER_SHARE, HEADER_LEAST = 0.3, 2
 CONFIDENCE_FLOOR, CHART_CONFIDENCE = 80.0, 50.0
 PAGE_MARK = r"(?i)^page\s+\d+(\s+of\s+\d+)?$"
-MONEY = r"(?i)(?:rs\.?|₹|inr)?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(crore|lakh|million|thousand)"
+MONEY = r"(?i)(?:rs\.?\s*([0-9,.]+)\s*(?:crore|lakh|million|thousand)?)|(?:\b([0-9,.]+)\s*(?:crore|lakh)\b)"
+NO_LABEL, BARE_LABEL, CURRENCY = "Budget Allocation", "Fiscal Metric", "INR"
 
 
 def reading_order(items: DataFrame, page_width: float = PAGE_WIDTH) -> DataFrame:
@@ -75,14 +76,23 @@ def table_cells(tables: DataFrame) -> DataFrame:
 
 
 def money_mentions(lines: DataFrame) -> DataFrame:
-    """document_id, page, label, value and quote: the first money figure of each line of 10 to 250 characters, scaled,
-    once a page, value and label."""
-    rows = lines.filter(F.length("text").between(10, 250)).withColumn("amount", F.regexp_extract("text", MONEY, 1)).filter("amount <> ''")
-    value = N.indian_scale(F.replace("amount", F.lit(","), F.lit("")).try_cast("double"), F.regexp_extract("text", MONEY, 2))
-    label = F.trim(F.regexp_extract("text", r"(?i)^(.*?)(?:rs\.?|₹|inr)?\s*[0-9]", 1))
-    rows = rows.select("document_id", "page", "line", label.alias("label"), value.alias("value"), F.col("text").alias("quote"))
+    """document_id, page, line, label, value, scaled_value, unit, currency, stage and quote: the first money figure of
+    each line of 10 to 250 characters, once a page, value and label (in any case).
+
+    A figure follows "Rs", with a scale word or without, or stands before crore or lakh. The unit is crore or lakh if the
+    line names it anywhere, else INR, and scales the value. The label is the text before the figure, without colons,
+    dashes and underscores at its end.
+    """
+    rows = lines.filter(F.length("text").between(10, 250)).withColumn("m", F.regexp_extract("text", MONEY, 0)).filter("m <> ''")
+    digits = F.replace(F.concat(F.regexp_extract("m", MONEY, 1), F.regexp_extract("m", MONEY, 2)), F.lit(","), F.lit(""))
+    value = F.regexp_extract(digits, r"^([0-9]+\.?[0-9]*|\.[0-9]+)", 1).try_cast("double")
+    unit = F.when(F.lower("text").contains("crore"), "crore").when(F.lower("text").contains("lakh"), "lakh").otherwise(CURRENCY)
+    before = F.trim(F.split_part("text", F.col("m"), F.lit(1)))
+    label = F.trim(F.regexp_replace(F.when(before == "", NO_LABEL).otherwise(before), "[:_-]+$", ""))
+    rows = rows.select("document_id", "page", "line", F.when(label == "", BARE_LABEL).otherwise(label).alias("label"), value.alias("value"), unit.alias("unit"), F.col("text").alias("quote")).filter("value is not null")
     first = F.row_number().over(Window.partitionBy("document_id", "page", "value", F.lower("label")).orderBy("line"))
-    return rows.withColumn("n", first).filter("n = 1").drop("n", "line")
+    scaled = N.indian_scale(F.col("value"), F.col("unit"))
+    return rows.withColumn("n", first).filter("n = 1").select("document_id", "page", "line", "label", "value", scaled.alias("scaled_value"), "unit", F.lit(CURRENCY).alias("currency"), F.lit("proposed").alias("stage"), "quote")
 
 
 def token_confidence(candidates: DataFrame, tokens: DataFrame) -> DataFrame:

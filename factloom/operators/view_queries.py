@@ -145,18 +145,16 @@ def audit_dossier(spark, sf_dir):
 
 
 @query(
-    r"""WITH o AS (SELECT o_orderkey // 100 AS document_id, (o_orderkey // 10) % 10 AS page, o_orderkey % 10 AS line, ['Roads', 'Dams', 'Schools'][o_custkey % 3 + 1] || ' cost Rs. ' || (o_custkey % 50) || CASE o_orderkey % 3 WHEN 0 THEN ' crore' WHEN 1 THEN ' lakh' ELSE ' units' END AS text, o_custkey % 3 AS l, (o_custkey % 50)::DOUBLE * CASE o_orderkey % 3 WHEN 0 THEN 1e7 ELSE 1e5 END AS v FROM orders WHERE o_orderkey % 3 < 2),
+    f"""WITH o AS ({Q._MONEY_LINES}),
 b AS (SELECT *, min(line) OVER w AS top, max(line) OVER w AS bottom FROM o WINDOW w AS (PARTITION BY document_id, page)),
-p AS (SELECT document_id, count(DISTINCT page) AS pages FROM b GROUP BY 1), t AS (SELECT document_id, text, count(*) AS n FROM b WHERE line = top GROUP BY 1, 2), f AS (SELECT document_id, text, count(*) AS n FROM b WHERE line = bottom AND bottom > top GROUP BY 1, 2),
-k AS (SELECT b.* FROM b JOIN p USING (document_id) LEFT JOIN t ON t.document_id = b.document_id AND t.text = b.text LEFT JOIN f ON f.document_id = b.document_id AND f.text = b.text
-  WHERE pages <= 1 OR NOT (line = top AND coalesce(t.n, 0) >= greatest(2, floor(pages * 0.3)) OR line = bottom AND coalesce(f.n, 0) >= greatest(2, floor(pages * 0.3))))
-SELECT document_id, page, v AS value, count(DISTINCT l)::BIGINT AS labels FROM k GROUP BY 1, 2, 3"""
+p AS (SELECT document_id, count(DISTINCT page) AS pages FROM b GROUP BY 1), t AS (SELECT document_id, trim(text) AS text, count(*) AS n FROM b WHERE line = top GROUP BY 1, 2), r AS (SELECT document_id, trim(text) AS text, count(*) AS n FROM b WHERE line = bottom AND bottom > top GROUP BY 1, 2),
+kept AS (SELECT b.* FROM b JOIN p USING (document_id) LEFT JOIN t ON t.document_id = b.document_id AND t.text = trim(b.text) LEFT JOIN r ON r.document_id = b.document_id AND r.text = trim(b.text)
+  WHERE pages <= 1 OR NOT (line = top AND coalesce(t.n, 0) >= greatest(2, floor(pages * 0.3)) OR line = bottom AND coalesce(r.n, 0) >= greatest(2, floor(pages * 0.3)))),
+{Q._MENTIONS.format("kept")}
+SELECT * EXCLUDE (wrong), CASE WHEN wrong THEN 'flagged' ELSE 'verified' END AS stage, NOT wrong AS verified, CASE WHEN wrong THEN 'HEADING_NUMBER' END AS fail_reason FROM (SELECT *, contains(quote, 'Section') AS wrong FROM mentions)"""
 )
 def money_facts(spark, sf_dir):
-    k = F.col("o_orderkey")
-    text = F.concat(F.element_at(F.array(F.lit("Roads"), F.lit("Dams"), F.lit("Schools")), (F.col("o_custkey") % 3 + 1).cast("int")), F.lit(" cost Rs. "), (F.col("o_custkey") % 50).cast("string"), F.when(k % 3 == 0, " crore").when(k % 3 == 1, " lakh").otherwise(" units"))
-    lines = table(spark, sf_dir, "orders").filter(k % 3 < 2).select(F.floor(k / 100).alias("document_id"), (F.floor(k / 10) % 10).alias("page"), (k % 10).alias("line"), text.alias("text"))
-    return W.money_facts(lines).filter("verified").groupBy("document_id", "page", "value").agg(F.count_distinct("label").alias("labels"))
+    return W.money_facts(Q._money_lines(spark, sf_dir)).drop("currency")
 
 
 _SIGN = "(({0} + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"

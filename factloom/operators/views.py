@@ -112,12 +112,15 @@ def facts_view(facts: DataFrame, name: str = "document_facts") -> DataFrame:
 
 
 def money_facts(lines: DataFrame) -> DataFrame:
-    """document_id, page, label, value, quote and verified: running lines are stripped, the first money figure of each
-    line is proposed and scaled, its quote is looked up on its page, and equal proposals of a page are one."""
-    kept = L.strip_running_lines(lines)
-    on_page = kept.select("document_id", "page", F.col("text").alias("quote"), F.lit(True).alias("found")).distinct()
-    found = L.money_mentions(kept).join(on_page, ["document_id", "page", "quote"], "left")
-    return found.select("document_id", "page", "label", "value", "quote", F.coalesce("found", F.lit(False)).alias("verified"))
+    """The money mentions of running lines, each with verified and stage: running headers and footers are stripped, the
+    first money figure of each line is proposed and scaled, equal proposals of a page are one, and a proposal is verified
+    if its quote and value stand up against the page's whole text, headers included."""
+    found = L.money_mentions(L.strip_running_lines(lines))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    pages = lines.groupBy("document_id", "page").agg(text.alias("text"))  # the lines of one page
+    facts = found.select("*", F.lit("money").alias("type"), F.lit(None).cast("string").alias("period"))
+    checked = V.verify_facts(facts, pages, check_units=False)
+    return checked.select(*[c for c in found.columns if c != "stage"], F.when(F.col("verified"), "verified").otherwise("flagged").alias("stage"), "verified", "fail_reason")
 
 
 def _signed(c: Column) -> Column:

@@ -165,15 +165,32 @@ def reading_order(spark, sf_dir):
     return L.reading_order(items)
 
 
-@query(
-    r"""WITH l AS (SELECT o_orderkey, 'Works ' || (o_orderkey % 9) || ' costs Rs. ' || (o_custkey % 1000) || CASE o_orderkey % 3 WHEN 0 THEN ' crore' WHEN 1 THEN ' lakh' ELSE ' units' END AS text FROM orders WHERE o_orderkey % 3 < 2)
-SELECT count(*)::BIGINT AS n, sum(value)::DOUBLE AS total FROM (SELECT DISTINCT o_orderkey % 10 AS page, (o_custkey % 1000)::DOUBLE * CASE o_orderkey % 3 WHEN 0 THEN 1e7 ELSE 1e5 END AS value FROM orders WHERE o_orderkey % 3 < 2)"""
-)
+#: Lines of all kinds: with and without a scale word, a scale word alone, no figure, labels that end in marks or are missing,
+#: and a heading's number.
+_MONEY_LINES = r"""SELECT o_orderkey // 100 AS document_id, (o_orderkey // 10) % 10 AS page, o_orderkey % 10 AS line,
+  ['Roads', 'Dams and weirs:', 'Schools --', '', 'Crore scheme'][o_custkey % 5 + 1] || CASE o_orderkey % 8
+    WHEN 0 THEN ' Rs. ' || n || ' crore' WHEN 1 THEN ' Rs ' || n || ',500 lakh a year' WHEN 2 THEN ' Rs.' || n || ' in all' WHEN 3 THEN ' need ' || n || '.75 Lakh soon'
+    WHEN 4 THEN ' rs. ' || n || ' million' WHEN 5 THEN ' cost ' || n || ' units only' WHEN 6 THEN ' of Section ' || n || ' crore plan' ELSE ' Rs. , nothing said' END AS text
+FROM (SELECT *, (o_custkey % 50)::VARCHAR AS n FROM orders)"""
+_MENTIONS = r"""f AS (SELECT *, regexp_extract(text, '(?i)rs\.?\s*[0-9,.]+\s*(crore|lakh|million|thousand)?|\b[0-9,.]+\s*(crore|lakh)\b') AS m FROM {0} WHERE length(text) BETWEEN 10 AND 250),
+g AS (SELECT *, try_cast(regexp_extract(replace(regexp_replace(m, '(?i)^rs\.?\s*', ''), ',', ''), '^([0-9]+\.?[0-9]*|\.[0-9]+)') AS DOUBLE) AS value, trim(string_split(text, m)[1]) AS before,
+  CASE WHEN contains(lower(text), 'crore') THEN 'crore' WHEN contains(lower(text), 'lakh') THEN 'lakh' ELSE 'INR' END AS unit FROM f WHERE m <> ''),
+h AS (SELECT *, trim(regexp_replace(CASE before WHEN '' THEN 'Budget Allocation' ELSE before END, '[:_-]+$', '')) AS label, value * CASE unit WHEN 'crore' THEN 1e7 WHEN 'lakh' THEN 1e5 ELSE 1 END AS scaled_value FROM g WHERE value IS NOT NULL),
+mentions AS (SELECT document_id, page, line, label, value, scaled_value::DOUBLE AS scaled_value, unit, text AS quote FROM h QUALIFY row_number() OVER (PARTITION BY document_id, page, value, lower(label) ORDER BY line) = 1)"""
+
+
+def _money_lines(spark, sf_dir):
+    k, n = F.col("o_orderkey"), (F.col("o_custkey") % 50).cast("string")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    head = F.element_at(F.array(*[F.lit(x) for x in ("Roads", "Dams and weirs:", "Schools --", "", "Crore scheme")]), (F.col("o_custkey") % 5 + 1).cast("int"))
+    kinds = (say(" Rs. ", n, " crore"), say(" Rs ", n, ",500 lakh a year"), say(" Rs.", n, " in all"), say(" need ", n, ".75 Lakh soon"), say(" rs. ", n, " million"), say(" cost ", n, " units only"), say(" of Section ", n, " crore plan"), F.lit(" Rs. , nothing said"))
+    text = F.concat(head, F.element_at(F.array(*kinds), (k % 8 + 1).cast("int")))
+    return table(spark, sf_dir, "orders").select(F.floor(k / 100).alias("document_id"), (F.floor(k / 10) % 10).alias("page"), (k % 10).alias("line"), text.alias("text"))
+
+
+@query(f"WITH l AS ({_MONEY_LINES}), {_MENTIONS.format('l')} SELECT * FROM mentions")
 def money_mentions(spark, sf_dir):
-    k = F.col("o_orderkey")
-    text = F.concat(F.lit("Works cost Rs. "), (F.col("o_custkey") % 1000).cast("string"), F.when(k % 3 == 0, " crore").when(k % 3 == 1, " lakh").otherwise(" units"))
-    lines = table(spark, sf_dir, "orders").select(F.lit(1).alias("document_id"), (k % 10).alias("page"), k.alias("line"), text.alias("text"))
-    return L.money_mentions(lines).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return L.money_mentions(_money_lines(spark, sf_dir)).drop("currency", "stage")
 
 
 def _events(spark, sf_dir):

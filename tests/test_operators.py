@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import facts as A
 from factloom.operators import layout as L
+from factloom.operators import views as W
 from factloom.operators import library as B
 from factloom.operators import narrative as T
 from factloom.operators import places as P
@@ -175,7 +176,24 @@ def test_reading_order_reads_columns(spark):
 
 def test_money_mentions(spark):
     lines = spark.createDataFrame([(1, 1, 1, "Road works Rs. 1,200.5 crore this year"), (1, 1, 2, "road works  rs 1,200.5 Crore again"), (1, 1, 3, "nothing here at all"), (1, 2, 1, "Road works Rs. 3 lakh")], "document_id int, page int, line int, text string")
-    assert rows(L.money_mentions(lines).select("page", "value"), "page") == [(1, 12005000000.0), (2, 300000.0)]
+    assert rows(L.money_mentions(lines).select("page", "value", "scaled_value", "unit"), "page") == [(1, 1200.5, 12005000000.0, "crore"), (2, 3.0, 300000.0, "lakh")]
+
+
+def test_money_mentions_of_all_kinds(spark):
+    said = ["Grant for roads Rs. 5,000 in all", "Total: Rs 12 million", "Total -: 7.5 lakh left", "Rs. 4 thousand", ":- Rs. 9 only", "Rs. , nothing said", "cost 40 units only", "Rs. 1.2.3 odd", "a crore of Rs 2 each", "short Rs 1", "x" * 240 + " Rs 5 crore"]
+    lines = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(said)], "document_id int, page int, line int, text string")
+    got = {r["line"]: (r["label"], r["value"], r["scaled_value"], r["unit"]) for r in L.money_mentions(lines).collect()}
+    assert got == {
+        0: ("Grant for roads", 5000.0, 5000.0, "INR"), 1: ("Total", 12.0, 12.0, "INR"), 2: ("Total", 7.5, 750000.0, "lakh"), 3: ("Budget Allocation", 4.0, 4.0, "INR"),
+        4: ("Fiscal Metric", 9.0, 9.0, "INR"), 7: ("Budget Allocation", 1.2, 1.2, "INR"), 8: ("a crore of", 2.0, 2e7, "crore"), 9: ("short", 1.0, 1.0, "INR"),
+    }
+    assert {(r["currency"], r["stage"]) for r in L.money_mentions(lines).collect()} == {("INR", "proposed")}
+
+
+def test_money_facts_are_verified_on_their_page(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "NOTICE"), (1, 1, 2, "Total revenue receipts Rs. 5,810.02 crore"), (1, 1, 3, "Section 12 crore plan for roads"), (1, 1, 4, "Page 1 of 2"), (1, 2, 1, "NOTICE"), (1, 2, 2, "Works 3 lakh")], "document_id int, page int, line int, text string")
+    got = sorted((r["page"], r["line"], r["value"], r["unit"], r["stage"], r["verified"], r["fail_reason"]) for r in W.money_facts(lines).collect())
+    assert got == [(1, 2, 5810.02, "crore", "verified", True, None), (1, 3, 12.0, "crore", "flagged", False, "HEADING_NUMBER"), (2, 2, 3.0, "lakh", "verified", True, None)]
 
 
 def test_library(spark):
