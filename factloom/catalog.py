@@ -17,6 +17,7 @@ MODULES = (
     "factloom.operators.view_queries",
     "factloom.operators.fulltext_queries",
     "factloom.operators.vector_queries",
+    "factloom.sources.versioned_queries",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
