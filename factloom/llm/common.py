@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import fresh_dir
+
 #: Bits of a fixed-size id filter: 8 MB whatever the input. A fuller filter only passes more rows on to the exact join behind it.
 FILTER_BITS = 1 << 26
 
@@ -18,19 +17,6 @@ EDGES_A_FILE = 20_000
 BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
@@ -38,6 +24,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     """The text with null counted as empty."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -111,10 +105,10 @@ class HashProbe:
 def without_keys(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """The rows of `df` whose key is not in `dropped` (one column `key`). Only rows that a fixed-size
     filter can't clear are shuffled for the exact anti join; the wide rest stays where it was read."""
-    doubt = KeyFilter(dropped, key).may_contain(F.col(key))
-    marked = df.withColumn("__doubt", doubt)
-    clear = marked.filter(~F.coalesce("__doubt", F.lit(False))).drop("__doubt")
-    return clear.unionByName(marked.filter("__doubt").drop("__doubt").join(dropped, key, "left_anti"))
+    name = free_name(df, "doubt")
+    marked = df.withColumn(name, KeyFilter(dropped, key).may_contain(F.col(key)))
+    clear = marked.filter(~F.coalesce(name, F.lit(False))).drop(name)
+    return clear.unionByName(marked.filter(F.col(name)).drop(name).join(dropped, key, "left_anti"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id", rounds: int = 60) -> DataFrame:

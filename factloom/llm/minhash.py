@@ -212,8 +212,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     comps = written(components(involved, links), "comps")
 
     labelled = written(shared.select("bucket", "id", "n").join(comps.withColumnRenamed("component", "comp"), "id"), "labelled")
-    spanning = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
-    open_ = spanning.filter("lo < hi").groupBy("size", "volume", "who").agg(F.min("bucket").alias("bucket"))  # buckets of the same members are one
+    digest = F.sha2(F.col("id").cast("string"), 256)  # members are told apart by two sums of 60 bits of it each
+    who = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"who{i}") for i in range(2)]
+    spanning = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), *who)
+    open_ = spanning.filter("lo < hi").groupBy("size", "volume", "who0", "who1").agg(F.min("bucket").alias("bucket"))  # buckets of the same members are one
     open_ = open_.select("bucket", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("volume") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     rest = labelled.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = rest.join(sets, "id").select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "comp", "shingles")

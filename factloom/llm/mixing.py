@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import written
+from factloom.llm.common import free_name, written
 
 MARGINALS = ("source", "lang", "topic")
 ROUNDS = 24
@@ -128,6 +128,8 @@ def draw(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = No
     its cell's chance, so documents only meet the small cell table, which Spark broadcasts if its size allows."""
     own = _keys(source_col, lang_col, text_col)
     rows = docs.select(*[c.alias(k) for k, c in own.items()], token_count(F.col(text_col)).alias("n_tokens"))
-    chance = _chances(rows, targets, flatten, rounds, budget).toDF(*[f"__{m}" for m in MARGINALS], "__chance")
-    keyed = docs.withColumns({f"__{k}": c for k, c in own.items()}).withColumn("__number", _number(id_col, seed))
-    return keyed.join(chance, [f"__{m}" for m in MARGINALS]).filter("__number < __chance").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = {n: free_name(docs, f"own_{n}") for n in (*MARGINALS, "chance", "number")}
+    chance = _chances(rows, targets, flatten, rounds, budget).toDF(*[names[m] for m in MARGINALS], names["chance"])
+    keyed = docs.withColumns({names[k]: c for k, c in own.items()}).withColumn(names["number"], _number(id_col, seed))
+    drawn = keyed.join(chance, [names[m] for m in MARGINALS]).filter(F.col(names["number"]) < F.col(names["chance"]))
+    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -208,14 +208,14 @@ def _featured(batches):
     for b in small_batches(batches, rows=2048):
         x = features(b.column(1)).astype(np.float32)
         flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([b.column(0), flat], ["id", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), flat, *b.columns[2:]], ["id", "x", *b.schema.names[2:]])
 
 
 def _scored(model: AdditiveModel):
     def run(batches):
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), len(FEATURES)).astype(float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x)), *b.columns[2:]], ["id", "score", *b.schema.names[2:]])
 
     return run
 
@@ -225,14 +225,17 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == fold, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """id, held_out, score and predicted (1 where score >= threshold) of every document."""
-    rows = bodies_of(docs, id_col, text_col)
-    x = written(rows.mapInArrow(_featured, "id long, x array<float>"), "features")
+def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", with_sha: bool = False) -> DataFrame:
+    """id, held_out, score and predicted (1 where score >= threshold) of every document, and `with_sha` its text_sha256."""
+    rows, more = bodies_of(docs, id_col, text_col), ["text_sha256"] if with_sha else []
+    if with_sha:
+        rows = rows.withColumn("text_sha256", F.sha2("body", 256))
+    own = ", text_sha256 string" if with_sha else ""
+    x = written(rows.mapInArrow(_featured, f"id long, x array<float>{own}"), "features")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     seen = x.join(known.filter(~held_out(F.col("id"), folds, fold)), "id")
     sample = seen.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows).toPandas()  # bounded by sample_rows
     xs = np.array(sample["x"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     model = AdditiveModel.fit(xs, (sample["y"].to_numpy() > 0).astype(float))
-    scored = x.mapInArrow(_scored(model), "id long, score double")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = x.mapInArrow(_scored(model), f"id long, score double{own}")
+    return scored.select(F.col("id").alias(id_col), held_out(F.col("id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)

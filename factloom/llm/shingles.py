@@ -1,9 +1,10 @@
-"""Word shingles of whole texts as sorted sets of 64-bit fingerprints, computed on Arrow buffers with numpy.
+"""Word shingles of whole texts as sorted sets of 64-bit fingerprints.
 
-Words are runs of bytes other than blank and 0x09-0x0D, with A-Z lower-cased. A word's fingerprint chains a
-nonlinear 64-bit mix over its eight-byte chunks, all words of a batch at once; words over LONG_WORD bytes take a
-keyed BLAKE2b digest. Words of up to eight bytes never share a fingerprint with another of their length; any two
-others, and two different shingles, do with a chance of about 2^-64.
+Words are runs of bytes other than blank and 0x09-0x0D, with A-Z lower-cased. A shingle's words are keyed BLAKE2b
+digests, taken once for each distinct word of a slice, so a word of equal digest can't be solved for; they are
+chained by a nonlinear mix. Two different shingles share a fingerprint with a chance of about 2^-64.
+
+`word_fingerprints` is a quicker hash for features, where nothing is decided by equality.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, fingerprint) of every word, in order."""
+    """(text index, fingerprint) of every word, in order: a nonlinear mix chained over its eight-byte chunks."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     solid = np.zeros(len(data) + 2, dtype=bool)
@@ -84,26 +85,46 @@ def word_fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return np.searchsorted(offsets, starts, "right") - 1, out
 
 
+_WORD = hashlib.blake2b(digest_size=8, key=b"word")
+
+
+def _digest(word: bytes) -> bytes:
+    h = _WORD.copy()
+    h.update(word)
+    return h.digest()
+
+
+def word_digests(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds of each text's words, digests of all words in order) of a string column without nulls."""
+    words, bounds = [], [0]
+    for body in column.cast(pa.large_binary()):
+        words += body.as_py().lower().split()
+        bounds.append(len(words))
+    kinds = dict.fromkeys(words)
+    digests = np.frombuffer(b"".join(map(_digest, kinds)), dtype="<u8")
+    number = dict(zip(kinds, range(len(kinds)), strict=True))
+    return np.array(bounds), digests[np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))]
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct fingerprints of its k-word shingles; a text of fewer words has its
     whole sequence as one; one without words has none."""
-    data, offsets = utf8(column)
-    of, words = word_fingerprints(data, offsets)
-    n = len(column)
-    bounds = np.searchsorted(of, np.arange(n + 1))
+    bounds, words = word_digests(column)
     salt = random_words(k, 17) | np.uint64(1)
     with np.errstate(over="ignore"):
         long = max(0, len(words) - k + 1)
         grams = np.zeros(long, dtype=np.uint64)
         for j in range(k):
-            grams += words[j : j + long] * salt[j]
-        grams = mix64(grams)
-        for i in range(n):
+            grams = mix64(grams + words[j : j + long] * salt[j])
+        for i in range(len(column)):
             lo, hi = bounds[i], bounds[i + 1]
             if hi - lo >= k:
                 yield np.unique(grams[lo : hi - k + 1])
             elif hi > lo:
-                yield mix64(np.array([(words[lo:hi] * salt[: hi - lo]).sum() + np.uint64(hi - lo)], dtype=np.uint64))
+                short = np.full(1, hi - lo, dtype=np.uint64)
+                for j in range(hi - lo):
+                    short = mix64(short + words[lo + j : lo + j + 1] * salt[j])
+                yield short
             else:
                 yield np.zeros(0, dtype=np.uint64)
 

@@ -41,6 +41,14 @@ def test_shingle_sets_have_the_right_sizes(k):
     assert list(shingle_sets(pa.array(["A b c"]), 3))[0].tolist() == list(shingle_sets(pa.array(["x", "a\tb  c"]).slice(1), 3))[0].tolist()
 
 
+def test_words_made_to_collide_do_not(spark):
+    pair = ["abcdefghijklmnop", "iynu}'{wg&j;jv8)"]
+    a, b = shingle_sets(pa.array(pair), 1)
+    assert a.tolist() != b.tolist()
+    docs = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert all(r["kept"] for r in mh.near_duplicates(docs).collect())
+
+
 def test_bands_miss_few():
     for percent in (80, 85, 90):
         bands, rows = mh.bands_for(percent)

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from factloom.llm.minhash import near_duplicates
+from factloom.llm.mixing import mix
 from factloom.llm.quality import quality_scores
 from factloom.session import table
 
@@ -42,3 +44,35 @@ def test_stages_take_an_empty_table(spark):
     empty = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """Rows that share an id: other texts are judged apart, equal rows leave one, and null ids are judged like others."""
+    rows = [(1, "same"), (2, "same"), (2, "only here"), (5, "b b"), (5, "b b"), (None, "same"), (None, "alone"), (None, "twice"), (None, "twice"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row_key", "2 AS doubt", "3 AS `own_source`", "'en' AS lang", "'web' AS source")
+    kept = corpus_pipeline.exact_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", "same"), ("2", "only here"), ("5", "b b"), ("None", "alone"), ("None", "twice"), ("7", None)], key=str)
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, near), (1, "quite another text of seven words"), (None, near + " thirteen"), (3, f"{near} fourteen"), (None, "nothing like the others at all"), (4, "plain"), (4, "simple")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row_key", "2 AS row_number", "'x' AS doubt")
+    kept = corpus_pipeline.near_stage(spark, docs, SF)
+    texts = sorted(r["text"] for r in kept.collect())
+    assert kept.columns == docs.columns and len([t for t in texts if t.startswith("one two")]) == 1 and len(texts) == 5
+    wide = spark.createDataFrame([(i % 3, f"text {i}", "en", "web") for i in range(60)], "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS own_chance", "2 AS own_number", "3 AS own_topic")
+    assert corpus_pipeline.mixing_stage(spark, wide, SF).columns == wide.columns
+    scored = corpus_pipeline.quality_stage(spark, docs.selectExpr("*", "'en' AS lang"), SF)
+    assert scored.count() <= docs.count() and "lang" in scored.columns
+
+
+def test_stages_match_their_operators(spark):
+    """What each filtering stage keeps, against the operator's own decisions on the same rows."""
+    docs = table(spark, SF, "documents")
+    ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+    assert ids(corpus_pipeline.exact_stage(spark, docs, SF)) == sorted(first.values())
+    assert ids(corpus_pipeline.near_stage(spark, docs, SF)) == ids(near_duplicates(docs, k=5, percent=80).filter("kept"))
+    assert ids(corpus_pipeline.mixing_stage(spark, docs, SF)) == ids(mix(docs).filter("selected"))
