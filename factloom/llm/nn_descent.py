@@ -8,8 +8,9 @@ the whole clusters (components of found links) of such vectors are compared exac
 clusters, in pairs of cells that emit counts and the links that join components; only pairs of cells that the
 triangle inequality of angles proves too far apart are skipped.
 
-Recall is audited against brute force on a fixed number of vectors outside the clusters compared exactly, as the mean
-over vectors of the share of their partners found. While it is below the target, lists, tables, sort window and rounds
+Recall is audited against brute force on vectors outside the clusters compared exactly, as the mean over vectors of
+the share of their partners found: vectors that projections of the audit's own show to have partners come first, then
+random ones until 200 with partners were met, all or 65,536 were looked at. While it is below the target, lists, tables, sort window and rounds
 are doubled, twice at most; if it still is, all vectors are compared exactly, in pairs of blocks. Every link is confirmed by a cosine in double precision.
 
 A pair within rounding of the threshold is judged by one order of summation, whichever step meets it.
@@ -36,7 +37,9 @@ from factloom.llm.shingles import random_words
 
 K, ROUNDS, TABLES = 10, 4, 4
 SORT_BLOCK, GROUP, DENSE_BLOCK = 192, 96, 512
-AUDIT, TARGET_RECALL = 2048, 0.95
+#: Vectors of a first draw, vectors with partners that an audit looks for, vectors it looks at, bytes of a draw, and its own tables.
+AUDIT, SEEN, MOST_AUDITED, DRAW_BYTES, FRESH_TABLES = 2048, 200, 1 << 16, 16 << 20, 64
+TARGET_RECALL = 0.95
 EFFORTS, EXACT_BLOCK = (1, 2, 4), 4096
 
 
@@ -46,9 +49,13 @@ def _units(batches):
         keys, units = [], []
         for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             v = np.array(x, dtype=np.float64) if i is not None and x and None not in x else np.zeros(1)
-            norm = np.linalg.norm(v)
-            fit = bool(np.isfinite(norm) and norm > 0)
+            fit = bool(np.isfinite(v).all() and v.any())
             keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest() if fit else None)
+            with np.errstate(over="ignore", under="ignore"):
+                norm = np.linalg.norm(v)
+            if fit and not 1e-140 < norm < 1e140:  # squares leave the range of doubles
+                v = v / np.abs(v).max()
+                norm = np.linalg.norm(v)
             units.append((v / norm).tobytes() if fit else None)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["vec", "key", "unit"])
 
@@ -62,7 +69,7 @@ def _planes(table: int, width: int) -> np.ndarray:
     return (u - 0.5).reshape(64, width)
 
 
-def _coded(tables: int):
+def _coded(tables: int, first: int = 0):
     weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
     def run(batches):
@@ -70,7 +77,7 @@ def _coded(tables: int):
             for width in sorted({len(x) for x in b.column(1).to_pylist()}):
                 own = b.filter(pa.array([len(x) == width for x in b.column(1).to_pylist()]))
                 x = _matrix(own.column(1))
-                for t in range(tables):
+                for t in range(first, first + tables):
                     signs = (x @ _planes(t, x.shape[1]).T > 0).astype(np.uint64)
                     code = (signs * weights).sum(axis=1, dtype=np.uint64)
                     n = len(own)
@@ -336,22 +343,49 @@ def _audit(queries, threshold: float):
     return run
 
 
-def audit(nodes: DataFrame, linked: DataFrame, threshold: float, queries: int = AUDIT) -> float:
+def _likely(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Ids of vectors (id, unit) that have a partner by projections of their own, which no graph was built from."""
+    codes = nodes.select("id", "unit").mapInArrow(_coded(TABLES, FRESH_TABLES), "tab int, width int, code long, id long, vec binary")
+    dealt = codes.repartitionByRange("tab", "width", "code", "id").sortWithinPartitions("tab", "width", "code", "id")
+    return dealt.mapInArrow(_neighbours_in_order(2, SORT_BLOCK), _PAIR).filter(F.col("sim") >= threshold - 1e-4).select("id").distinct()
+
+
+def audit(nodes: DataFrame, linked: DataFrame, threshold: float, queries: int = AUDIT, seen: int = SEEN, report: dict | None = None) -> float:
     """The share of its partners that `linked` (id, n_links; copies not counted) holds for a vector, against brute
-    force: the mean over those of `queries` vectors of `linked` that have partners, each counting alike."""
+    force: the mean over vectors of `linked` that have partners, each counting alike.
+
+    A first draw of `queries` takes vectors that fresh projections show to have a partner, so that rare partners are
+    met; then random parts of all follow until `seen` vectors with partners were met, all were looked at, or
+    MOST_AUDITED were. `report` receives recall, the vectors with partners it rests on, and those looked at.
+    """
     spark = nodes.sparkSession
-    asked = nodes.join(linked.select("id"), "id", "left_semi")
-    sample = asked.orderBy(F.xxhash64("id")).limit(queries).select("id", "unit").collect()  # bounded by `queries`
-    if not sample:
-        return 1.0
-    held = spark.sparkContext.broadcast(([r["id"] for r in sample], [bytes(r["unit"]) for r in sample]))
-    true = nodes.select("id", "unit").mapInArrow(_audit(held, threshold), "id long, hits long").groupBy("id").agg((F.sum("hits") - 1).alias("hits"))
-    got = linked.join(F.broadcast(true), "id").filter("hits > 0").agg(F.avg(F.least("n_links", "hits") / F.col("hits"))).first()[0]
-    return 1.0 if got is None else got
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, rounds: int = ROUNDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, n_links, component_id and kept of every vector: vectors are linked where their cosine is >= threshold."""
+    asked = written(nodes.join(linked.select("id"), "id", "left_semi").select("id", "unit"), "asked")
+    total = asked.count()
+    width = asked.agg(F.coalesce(F.max(F.length("unit")), F.lit(8))).first()[0]
+    draw = max(256, min(1 << 14, DRAW_BYTES // width))
+    parts = max(1, -(-total // draw))
+    likely = asked.join(_likely(nodes, threshold), "id", "left_semi").orderBy(F.xxhash64("id")).limit(min(queries, draw))
+    draws = [likely, *[asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i) for i in range(parts)]]
+    met, looked, shares = 0, 0, 0.0
+    for sample in draws:
+        rows = sample.collect()  # bounded by the bytes of a draw
+        if rows:
+            held = spark.sparkContext.broadcast(([r["id"] for r in rows], [bytes(r["unit"]) for r in rows]))
+            true = nodes.select("id", "unit").mapInArrow(_audit(held, threshold), "id long, hits long").groupBy("id").agg((F.sum("hits") - 1).alias("hits"))
+            got = linked.join(F.broadcast(true), "id").filter("hits > 0").agg(F.count(F.lit(1)), F.sum(F.least("n_links", "hits") / F.col("hits"))).first()
+            held.destroy()
+            met, looked, shares = met + got[0], looked + len(rows), shares + (got[1] or 0.0)
+        if met >= seen or looked >= MOST_AUDITED:
+            break
+    recall = shares / met if met else 1.0
+    if report is not None:
+        report |= {"recall": recall, "with_partners": met, "looked_at": looked}
+    return recall
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, rounds: int = ROUNDS, id_col: str = "vec_id", vector_col: str = "embedding", report: dict | None = None) -> DataFrame:
+    """id, n_links, component_id and kept of every vector: vectors are linked where their cosine is >= threshold.
+    `report` receives the figures of the last audit."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     units = written(rows.mapInArrow(_units, "vec long, key binary, unit binary"), "units")
     classes = units.filter("key is not null").groupBy("key").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.any_value("unit").alias("unit"))
@@ -372,7 +406,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, rounds:
         listed = ends.join(nodes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.count(F.lit(1)).alias("partners"), F.sum("copies").alias("links"))
         listed = nodes.select("id").join(members.select("id"), "id", "left_anti").join(listed, "id", "left")
         listed = written(listed.select("id", F.coalesce("partners", F.lit(0)).alias("partners"), F.coalesce("links", F.lit(0)).alias("links")), "listed")
-        if audit(nodes, listed.select("id", F.col("partners").alias("n_links")), threshold) >= TARGET_RECALL:
+        if audit(nodes, listed.select("id", F.col("partners").alias("n_links")), threshold, report=report) >= TARGET_RECALL:
             break
     else:
         counted = written(exact_links(comps.join(nodes, "id").select("id", "component", "unit", "copies"), threshold), "counted")

@@ -213,3 +213,22 @@ def test_large_intersections_are_counted_in_whole_numbers():
     shared = np.arange(700_000)
     got = mh.intersections([shared], [np.concatenate([shared, [-1]])])
     assert got.tolist() == [[700_000]] and (100 * got.astype(np.int64)).tolist() == [[70_000_000]]
+
+
+def test_audit_meets_rare_partners(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 32))
+    x[3000:3100] = x[:100] + 0.1 * rng.normal(size=(100, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, unit binary")
+    report = {}
+    assert audit(nodes, nodes.selectExpr("id", "0L AS n_links"), 0.9, report=report) < 0.05
+    assert report["with_partners"] >= 100
+    truth = nodes.selectExpr("id", "CASE WHEN id < 100 OR id BETWEEN 3000 AND 3099 THEN 1L ELSE 0L END AS n_links")
+    assert audit(nodes, truth, 0.9, report=report) == 1.0 and report["looked_at"] > 0
+
+
+def test_huge_and_tiny_vectors_link(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1e308, -1e308]), (6, [float("inf"), 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
