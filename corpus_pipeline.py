@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh_dir, free_name, text_of, without_keys, written
+from factloom.llm.common import KeyFilter, fresh_dir, free_name, text_of, without_keys, written
 from factloom.llm.exact_dedup import exact_dedup
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import draw
@@ -21,6 +21,10 @@ from factloom.llm.sentencepiece_scan import encode_and_check
 from factloom.session import table
 
 
+#: Bytes of an Arrow batch of texts within the stages, whose executors hold two Python workers and the JVM's share.
+STAGE_BATCH_BYTES = 2 << 20
+
+
 def _row(id_col: Column, text_sha: Column) -> Column:
     """What a decision is about: a document's id and text, as one key."""
     return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), text_sha)
@@ -29,6 +33,7 @@ def _row(id_col: Column, text_sha: Column) -> Column:
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with their row key, and its name, which no other column has."""
     name = free_name(docs, "row_key")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(STAGE_BATCH_BYTES))
     return docs.withColumn(name, _row(F.col("doc_id"), F.sha2(text_of(), 256))), name
 
 
@@ -45,9 +50,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, name = _keyed(docs)
     decided = written(exact_dedup(docs).select(_row(F.col("doc_id"), F.col("text_sha256")).alias(name), "kept"), "decided")
     kept = without_keys(keyed, decided.filter("not kept").select(name).distinct(), name)
-    repeated = decided.filter("kept").groupBy(name).count().filter("count > 1").select(name)  # rows that repeat id and text
-    once = without_keys(kept, repeated, name)
-    return once.unionByName(kept.join(repeated, name, "left_semi").dropDuplicates([name])).drop(name)
+    repeated = written(decided.filter("kept").groupBy(name).count().filter("count > 1").select(name), "repeated")  # rows that repeat id and text
+    if not repeated.isEmpty():
+        again = kept.filter(KeyFilter(repeated, name).may_contain(F.col(name))).join(repeated, name, "left_semi")
+        kept = without_keys(kept, repeated, name).unionByName(again.dropDuplicates([name]))
+    return kept.drop(name)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
