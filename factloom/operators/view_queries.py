@@ -186,3 +186,17 @@ UNION ALL SELECT 'chunks', sum(greatest(1, len(c)))::BIGINT FROM l UNION ALL SEL
 def ingest_counts(spark, sf_dir):
     facts, pages = D._proposals(spark, sf_dir)
     return _counts(W.ingest(pages, facts))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' WHEN 2 THEN 'geo' ELSE 'image' END AS kind, doc_id % 9 <> 0 AND trim(coalesce(text, ''), ' ') <> '' AS ok FROM documents),
+s AS (SELECT * FROM (VALUES (1, 'validating'), (2, 'extracting'), (3, 'chunking'), (4, 'embedding'), (5, 'classification'), (6, 'fact_extraction'), (7, 'verification'), (8, 'synthesis'), (9, 'building_visuals'), (10, 'done')) s(n, stage)),
+e AS (SELECT doc_id, n, stage, n * 10 AS progress FROM d, s WHERE ok AND NOT (kind IN ('csv', 'geo') AND n = 6) UNION ALL SELECT doc_id, 1, 'validating', 10 FROM d WHERE NOT ok UNION ALL SELECT doc_id, 2, 'failed', 0 FROM d WHERE NOT ok)
+SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS sequence, stage, progress::INT AS progress, CASE stage WHEN 'done' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'processing' END AS status FROM e"""
+)
+def ingest_events(spark, sf_dir):
+    facts, pages = D._proposals(spark, sf_dir)
+    k = F.col("document_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("pdf", "csv", "geo", "image")]), (k % 4 + 1).cast("int"))
+    pages = pages.withColumns({"kind": kind, "text": F.when(k % 9 != 0, F.col("text"))})
+    return W.ingest(pages, facts)["events"]

@@ -18,6 +18,7 @@ IMAGE_BYTES, IMAGE_SIDE = 25 * 1024 * 1024, 8000
 IMAGE_SIGNATURES = (("image/png", "^89504E47.{8}"), ("image/jpeg", "^FFD8FF"), ("image/webp", "^52494646.{8}57454250"), ("image/tiff", "^(49492A00|4D4D002A)"))
 PASSING_PRECISION, PASSING_GROUNDING = 0.99, 1.0
 GRAM_WEIGHT, UNSEEN_IDF = 0.4, 2.0
+COMPUTED_KINDS = ("csv", "geo")
 LISTINGS = {"documents": (("created_at", False),), "facts": (("page", True), ("fact_id", True)), "chunks": (("page", True), ("chunk_index", True)), "events": (("sequence", True),)}
 
 
@@ -156,11 +157,14 @@ def of_document(events: DataFrame, document_id) -> DataFrame:
 
 def ingest(pages: DataFrame, proposals: DataFrame) -> dict[str, DataFrame]:
     """The ingest job over pages (document_id, page, text) and proposed facts: chunks, facts (verified without unit checks),
-    published (those verified) and events, one for each stage a document reaches. A document without text fails at extracting."""
+    published (those verified) and events, one for each stage a document reaches. A document without text fails at extracting.
+    Pages may name the `kind` of their document: tables and geodata pass no fact extraction and have no such event."""
     facts = V.verify_facts(proposals, pages, check_units=False)
     filled = F.max(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-    state = pages.groupBy("document_id").agg(filled.alias("ok"))
-    reached = F.when(F.col("ok"), F.array(*[F.lit(s) for s in E.STAGES])).otherwise(F.array(F.lit(E.STAGES[0]), F.lit(E.FAILED)))
+    kind = F.max("kind") if "kind" in pages.columns else F.lit(None)
+    state = pages.groupBy("document_id").agg(filled.alias("ok"), kind.cast("string").alias("kind"))
+    every, computed = (F.array(*[F.lit(s) for s in names]) for names in (E.STAGES, [s for s in E.STAGES if s != "fact_extraction"]))
+    reached = F.when(F.col("ok"), F.when(F.col("kind").isin(*COMPUTED_KINDS), computed).otherwise(every)).otherwise(F.array(F.lit(E.STAGES[0]), F.lit(E.FAILED)))
     events = state.select("document_id", F.posexplode(reached).alias("sequence", "stage"))
     events = events.select("document_id", "sequence", "stage", E.progress_of(F.col("stage")).alias("progress"), E.status_of(F.col("stage")).alias("status"))
     with_text = pages.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
