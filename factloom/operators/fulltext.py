@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.stemming import STOP_WORDS, with_stems
+from factloom.functions.stemming import EXCEPTIONS, STOP_WORDS, with_stems
 
 # Fixed values of the search contract: the weight of a word, the length from which a word is a keyword, the results shown.
 WEIGHT, KEYWORD_LENGTH, TOP = 0.1, 3, 8
@@ -68,7 +68,9 @@ def scan_hits(chunks: DataFrame, terms: Terms, key: str, text: str = "text") ->
     wanted = sorted({*terms.some, *terms.every})
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
     kinds = chunks.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
-    spelled = with_stems(kinds.filter(~F.col("word").isin(*STOP_WORDS))).filter(F.col("stem").isin(*wanted))
+    # stemming leaves the first two letters alone, or the first where only that is left, but for the listed exceptions
+    near = F.col("word").isin(*EXCEPTIONS) | F.substring("word", 1, 2).isin(*{t[:2] for t in wanted}) | F.substring("word", 1, 1).isin(*{t for t in wanted if len(t) == 1})
+    spelled = with_stems(kinds.filter(~F.col("word").isin(*STOP_WORDS) & near)).filter(F.col("stem").isin(*wanted))
     each = chunks.select(key, F.posexplode(words).alias("at", "word"))
     met = each.join(spelled, "word")  # a few spellings a stem: Spark broadcasts them if their size allows
     return met.groupBy(key, "stem").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
