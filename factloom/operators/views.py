@@ -89,7 +89,7 @@ def image_guard(content: Column, size: Column, width: Column, height: Column) ->
         mime = mime.when(head.rlike(mark), name)
     side = (width <= 0) | (height <= 0) | (width > IMAGE_SIDE) | (height > IMAGE_SIDE)
     reason = F.when(size > IMAGE_BYTES, "FILE_TOO_LARGE").when(mime.isNull(), "UNSUPPORTED_FORMAT").when(side, "IMAGE_DIMENSIONS_EXCEEDED")
-    exif = F.coalesce((mime == "image/jpeg") & F.hex(content).rlike("^(..)*?FFE1.."), F.lit(False))
+    exif = F.coalesce((mime == "image/jpeg") & F.contains(F.substr(content, F.lit(1), F.length(content) - 1), F.unhex(F.lit("FFE1"))), F.lit(False))
     return F.struct(mime.alias("mime"), reason.alias("reason"), exif.alias("has_exif"))
 
 
