@@ -15,6 +15,7 @@ MODULES = (
     "factloom.operators.world_queries",
     "factloom.operators.model_queries",
     "factloom.operators.view_queries",
+    "factloom.operators.branch_queries",
     "factloom.operators.fulltext_queries",
     "factloom.operators.vector_queries",
     "factloom.sources.versioned_queries",
