@@ -98,6 +98,16 @@ def conflict_pairs(spark, sf_dir):
     return A.conflicts(_facts(spark, sf_dir))
 
 
+@query(
+    _F
+    + """k AS (SELECT document_id, lower(type) AS kind, coalesce(fiscal_year, 'all') AS period, fact_id, row_idx, value FROM f),
+v AS (SELECT document_id, kind, period, value, arg_min(fact_id, row_idx) AS first_id, count(*)::BIGINT AS facts FROM k GROUP BY ALL)
+SELECT a.*, sum(b.facts)::BIGINT AS links FROM v a JOIN v b USING (document_id, kind, period) WHERE abs(a.value - b.value) > 0.01 GROUP BY ALL"""
+)
+def conflict_classes(spark, sf_dir):
+    return A.conflict_classes(_facts(spark, sf_dir))
+
+
 @query(_F + "k AS (SELECT * FROM f WHERE type = 'definition') SELECT document_id, fact_id, trim(CASE WHEN strpos(quote, ':') - 1 BETWEEN 1 AND 39 THEN substr(quote, 1, strpos(quote, ':') - 1) ELSE substr(quote, 1, 30) END) AS term, quote AS definition FROM k")
 def glossary_terms(spark, sf_dir):
     return A.glossary(_facts(spark, sf_dir))

@@ -124,8 +124,7 @@ def shares(facts: DataFrame) -> DataFrame:
 def conflicts(facts: DataFrame, gap: float = CONFLICT_GAP) -> DataFrame:
     """Pairs of facts of one document, type and period whose values differ: document_id, kind, period, a_id, b_id and difference.
 
-    Equal values are one side each, so a fact repeated many times meets others once a value, and the pairs are
-    expanded from the values' fact lists only where values differ.
+    All pairs, so the square of a key's facts; `conflict_classes` tells the same without expanding them.
     """
     rows = facts.filter("value is not null and type is not null").select("document_id", F.lower("type").alias("kind"), F.coalesce("fiscal_year", F.lit("all")).alias("period"), "fact_id", "row_idx", "value")
     key = ["document_id", "kind", "period"]
@@ -136,6 +135,22 @@ def conflicts(facts: DataFrame, gap: float = CONFLICT_GAP) -> DataFrame:
     return pairs.select(*key, F.col("a_fact_id").alias("a_id"), F.col("b_fact_id").alias("b_id"), F.abs(F.col("a_value") - F.col("b_value")).alias("difference"))
 
 
+def conflict_classes(facts: DataFrame, gap: float = CONFLICT_GAP) -> DataFrame:
+    """The sides of conflicts, one row a value: document_id, kind, period, value, first_id (the fact that stands first),
+    facts (those that state the value) and links (facts of the key whose values differ from it by more than the gap).
+
+    Equal facts are counted before the shuffle and links are taken from sums over the sorted values, so a key of n
+    facts and k values costs k rows, not the square of n. Values that nothing conflicts with are left out;
+    values a gap apart to the last bit may round to either side.
+    """
+    key = ["document_id", "kind", "period"]
+    rows = facts.filter("value is not null and type is not null").select("document_id", F.lower("type").alias("kind"), F.coalesce("fiscal_year", F.lit("all")).alias("period"), "fact_id", "row_idx", F.col("value").cast("double").alias("value"))
+    values = rows.groupBy(*key, "value").agg(F.min_by("fact_id", "row_idx").alias("first_id"), F.count(F.lit(1)).alias("facts"))
+    within = f"{float(gap)!r}D"
+    near = F.expr(f"sum(facts) over (partition by document_id, kind, period order by value range between {within} preceding and {within} following)")
+    return values.withColumn("links", F.sum("facts").over(Window.partitionBy(*key)) - near).filter("links > 0")
+
+
 def glossary(facts: DataFrame) -> DataFrame:
     """document_id, fact_id, term and definition of facts that define something (by type or semantic type)."""
     return facts.filter(semantic_type(F.col("type")) == "definition").select("document_id", "fact_id", X.glossary_term(F.col("quote")).alias("term"), F.col("quote").alias("definition"))

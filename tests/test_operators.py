@@ -119,6 +119,13 @@ def test_conflicts(spark):
     assert rows(A.conflicts(facts).select("a_id", "b_id"), "a_id", "b_id") == [(0, 2), (1, 2)]
 
 
+def test_conflict_classes_of_a_crowded_key(spark):
+    many = spark.range(100_000).selectExpr("1L as document_id", "id as fact_id", "id as row_idx", "'Total' as type", "cast(null as string) as fiscal_year", "case when id = 7 then 5.0D when id = 9 then 5.005D else 2.0D end as value")
+    got = sorted((r.value, r.first_id, r.facts, r.links) for r in A.conflict_classes(many).collect())
+    assert got == [(2.0, 0, 99_998, 2), (5.0, 7, 1, 99_998), (5.005, 9, 1, 99_998)]
+    assert A.conflict_classes(many.filter("fact_id in (7, 9)")).count() == 0 and A.conflict_classes(many.limit(0)).count() == 0
+
+
 def test_claims(spark):
     facts = _facts(spark, [{"value": 30.0, "label": "Roads works"}, {"value": 70.0, "label": "Water works"}])
     claims = spark.createDataFrame(
