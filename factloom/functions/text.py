@@ -47,13 +47,17 @@ def canonical(c: Column) -> Column:
     return collapse_blanks(plain_punctuation(join_hyphens(c)))
 
 
-def verification_form(c: Column) -> Column:
-    """Canonical, lower-cased, with currency and scale words in one spelling."""
-    out = F.regexp_replace(F.lower(canonical(c)), r"\u20B9|rs\.?|inr", "rs")
+def spelled(c: Column) -> Column:
+    """A canonical text lower-cased, with currency and scale words in one spelling."""
+    out = F.regexp_replace(F.lower(c), r"\u20B9|rs\.?|inr", "rs")
     out = F.regexp_replace(out, r"\bcrores?\b|\bcr\b", "crore")
     return F.regexp_replace(out, r"\blakhs?\b|\bl\b", "lakh")
 
 
+def verification_form(c: Column) -> Column:
+    return spelled(canonical(c))
+
+
 def find_quote(page: Column, quote: Column, forms: tuple[Column, Column, Column, Column] | None = None) -> Column:
     """STRUCT(matched, exact, tier, start, stop): verbatim, then canonical, then verification form; indexes from 0, -1 for none.
 

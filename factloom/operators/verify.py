@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.functions.numbers import grouped, plain_text
+from factloom.session import fresh_dir
 
 # Fact types by the checks they need, and the words of dates and headings.
 MONEY_TYPES = ("financial_total", "receipt", "expenditure", "allocation", "tax_collection")
@@ -96,11 +99,13 @@ def verify_facts(facts: DataFrame, pages: DataFrame, check_units: bool = True) -
     exact_match, proof_type and confidence.
 
     `pages` is (document_id, page, text). The first reason of REASONS that holds is given. `check_units=False`
-    leaves out the two unit checks, as ingestion does.
+    leaves out the two unit checks, as ingestion does. The normal forms of a page are made once, before its facts meet
+    it, and only for pages that a fact cites; pages and facts are both large, so they meet in a shuffle by page.
     """
-    joined = facts.join(pages.select("document_id", "page", F.col("text").alias("page_text")), ["document_id", "page"], "left")
-    joined = joined.withColumns({"_cp": X.canonical(F.col("page_text")), "_cq": X.canonical(F.col("quote"))})
-    joined = joined.withColumns({"_vp": X.verification_form(F.col("_cp")), "_vq": X.verification_form(F.col("_cq"))})
+    at = ["document_id", "page"]
+    cited = pages.select(*at, F.col("text").alias("page_text")).hint("merge").join(facts.select(*at).distinct(), at, "left_semi")
+    cited = cited.withColumn("_cp", X.canonical(F.col("page_text"))).withColumn("_vp", X.spelled(F.col("_cp")))
+    joined = facts.hint("merge").join(cited, at, "left").withColumn("_cq", X.canonical(F.col("quote"))).withColumn("_vq", X.spelled(F.col("_cq")))
     forms = (F.col("_cp"), F.col("_cq"), F.col("_vp"), F.col("_vq"))
     joined = joined.withColumn("_q", X.find_quote(F.col("page_text"), F.col("quote"), forms))
     tier = F.col("_q.tier")
@@ -139,24 +144,52 @@ def verification_rate(verified: DataFrame) -> DataFrame:
     return verified.agg(n.alias("proposed"), ok.alias("verified"), F.coalesce(F.try_divide(ok, n), F.lit(0.0)).alias("rate"))
 
 
+def _standing(met: DataFrame, quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pairs of `met` whose quote stands in the page's text, with its start."""
+    texts = met.join(quotes.select("quote_id", "quote"), "quote_id").join(pages.select("page_id", "text"), "page_id")
+    return texts.select("page_id", "quote_id", (F.instr("text", F.col("quote")) - 1).alias("start")).filter("start >= 0")
+
+
+def _short_quotes(pages: DataFrame, quotes: DataFrame, letters: int = 3) -> DataFrame:
+    """Quotes without an inner word, whose parts may be pieces of a page's words: words that hold the longest part are
+    found among the distinct words of all pages, by its first letters, and lead to their pages."""
+    longest = F.array_max(F.transform("parts", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = quotes.withColumn("part", longest).withColumn("key", F.substring(F.col("part"), 1, letters))
+    words = pages.select("page_id", F.explode_outer(F.array_distinct("w")).alias("word")).filter("word <> ''")
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - n + 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))
+    known = words.select("word").distinct().select("word", F.explode_outer(F.array_distinct(F.concat(*[pieces(n) for n in range(1, letters + 1)]))).alias("key"))
+    hits = known.join(q.select("quote_id", "part", "key"), "key").filter(F.contains("word", F.col("part"))).select("word", "quote_id")
+    return _standing(words.join(hits, "word").select("page_id", "quote_id").distinct(), q, pages)
+
+
 def quotes_on_pages(pages: DataFrame, quotes: DataFrame, words: int = 4) -> DataFrame:
     """(page_id, quote_id, start) of each quote that stands verbatim on a page.
 
-    Pages and quotes meet on the quote's first run of `words` blank-separated words, so no page is compared with
-    every quote; quotes of fewer words meet on a shorter run of their own.
+    A quote's inner words are whole words of any page that holds it. Pages and quotes meet on one run of `words` inner
+    words, a shorter run for shorter quotes: the one that fewest pages hold, as its frequency over all pages says, so
+    frequent runs meet no one. Only the runs that quotes hold leave a page; those are told by a semi join with the
+    distinct runs of all quotes. Quotes of one or two words have no inner word: their longest part meets the distinct
+    words of all pages by its first letters. Blank quotes stand on no page.
     """
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - n + 1)), lambda i: F.array_join(F.slice(c, i, n), " "))
-    q = quotes.filter("length(quote) > 0").withColumn("w", F.split("quote", r"\s+"))
-    q = q.withColumn("n", F.least(F.lit(words), F.greatest(F.lit(1), F.size("w") - 2)))
-    q = q.withColumn("key", F.array_join(F.slice("w", F.when(F.size("w") > 2, 2).otherwise(1), F.col("n")), " "))
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - n + 1)), lambda i: F.array_join(F.slice(c, i, n), " "))
+    q = quotes.filter(F.rlike("quote", F.lit(r"\S"))).withColumn("w", F.split("quote", r"\s+")).withColumn("parts", F.col("w"))
+    q = q.withColumn("w", F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2))).withColumn("n", F.least(F.lit(words), F.size("w")))
+    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # at most `words` + 1 values
+    inner = q.filter("n > 0").withColumn("key", F.explode_outer(F.array_distinct(runs(F.col("w"), F.col("n"))))).select("quote_id", "n", "key")
     p = pages.withColumn("w", F.split("text", r"\s+"))
-    lengths = [r["n"] for r in q.select("n").distinct().collect()]  # at most `words` values
-    keyed = [p.select("page_id", F.explode(F.array_distinct(grams(F.col("w"), n))).alias("key"), F.lit(n).alias("n")) for n in sorted(lengths)]
-    if not keyed:
+    sized = lambda n: F.transform(F.array_distinct(runs(F.col("w"), n)), lambda r: F.struct(F.lit(n).alias("n"), r.alias("key")))
+    kinds = [sized(n) for n in sorted(sizes) if n > 0]
+    found = [_short_quotes(p, q.filter("n = 0"))] if 0 in sizes else []
+    if kinds:
+        held = p.select("page_id", F.explode_outer(F.concat(*kinds)).alias("r")).select("page_id", "r.n", "r.key")
+        held = held.join(inner.select("n", "key").distinct(), ["n", "key"], "left_semi")
+        at = fresh_dir(pages.sparkSession, "runs")
+        held.write.parquet(at)  # counted and met: one pass over the texts for both
+        held = pages.sparkSession.read.parquet(at)
+        often = held.groupBy("n", "key").agg(F.count(F.lit(1)).alias("pages"))
+        rarest = inner.join(often, ["n", "key"], "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "n", "key")).alias("r"))
+        met = rarest.filter("r.pages > 0").select("quote_id", "r.n", "r.key").join(held, ["n", "key"]).select("page_id", "quote_id")
+        found.append(_standing(met, q, pages))
+    if not found:
         return pages.select("page_id", F.lit(None).cast("long").alias("quote_id"), F.lit(0).alias("start")).limit(0)
-    met = keyed[0]
-    for more in keyed[1:]:
-        met = met.unionByName(more)
-    pairs = met.join(q.select("quote_id", "quote", "key", "n"), ["key", "n"]).select("page_id", "quote_id", "quote").distinct()
-    at = F.instr("text", F.col("quote"))
-    return pairs.join(pages, "page_id").select("page_id", "quote_id", (at - 1).alias("start")).filter("start >= 0")
+    return reduce(DataFrame.unionByName, found)

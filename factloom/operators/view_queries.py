@@ -177,9 +177,9 @@ def tfidf_embedding(spark, sf_dir):
 
 
 @query(
-    D._CHAIN.replace("WHEN k = 4 AND", "WHEN FALSE AND")
-    + r""", l AS (SELECT list_filter(list_transform(string_split(CASE WHEN doc_id % 6 = 1 THEN '9. ' || text ELSE text END, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 20) AS c FROM documents WHERE trim(coalesce(text, ''), ' ') <> ''),
-e AS (SELECT trim(coalesce(text, ''), ' ') <> '' AS ok FROM documents)
+    D._CHAIN.replace("WHEN k = 4 AND", "WHEN FALSE AND").replace("WHEN k IN (4, 8) AND", "WHEN FALSE AND")
+    + r""", l AS (SELECT list_filter(list_transform(string_split(page_text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 20) AS c FROM p WHERE trim(coalesce(page_text, ''), ' ') <> ''),
+e AS (SELECT trim(coalesce(page_text, ''), ' ') <> '' AS ok FROM p)
 SELECT 'pages' AS part, count(*) FILTER (ok)::BIGINT AS n FROM e UNION ALL SELECT 'events', sum(CASE WHEN ok THEN 10 ELSE 2 END)::BIGINT FROM e
 UNION ALL SELECT 'chunks', sum(greatest(1, len(c)))::BIGINT FROM l UNION ALL SELECT 'facts', count(*)::BIGINT FROM v UNION ALL SELECT 'published', count(*) FILTER (fail_reason IS NULL)::BIGINT FROM v"""
 )
@@ -189,7 +189,7 @@ def ingest_counts(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' WHEN 2 THEN 'geo' ELSE 'image' END AS kind, doc_id % 9 <> 0 AND trim(coalesce(text, ''), ' ') <> '' AS ok FROM documents),
+    D._CHAIN + """, d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' WHEN 2 THEN 'geo' ELSE 'image' END AS kind, doc_id % 9 <> 0 AND trim(coalesce(page_text, ''), ' ') <> '' AS ok FROM p),
 s AS (SELECT * FROM (VALUES (1, 'validating'), (2, 'extracting'), (3, 'chunking'), (4, 'embedding'), (5, 'classification'), (6, 'fact_extraction'), (7, 'verification'), (8, 'synthesis'), (9, 'building_visuals'), (10, 'done')) s(n, stage)),
 e AS (SELECT doc_id, n, stage, n * 10 AS progress FROM d, s WHERE ok AND NOT (kind IN ('csv', 'geo') AND n = 6) UNION ALL SELECT doc_id, 1, 'validating', 10 FROM d WHERE NOT ok UNION ALL SELECT doc_id, 2, 'failed', 0 FROM d WHERE NOT ok)
 SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS sequence, stage, progress::INT AS progress, CASE stage WHEN 'done' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'processing' END AS status FROM e"""

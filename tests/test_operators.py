@@ -52,6 +52,27 @@ def test_quotes_meet_pages(spark):
     assert rows(V.quotes_on_pages(pages, quotes), "page_id", "quote_id") == [(1, 1, 6), (1, 2, 8), (1, 3, 11), (2, 3, 5)]
 
 
+def test_quotes_of_every_length_equal_brute_force(spark):
+    pick = random.Random(3)
+    words = ["ab", "b", "a", "abc", "cab", "x", "xx ", "é", "the", "the"]
+    pages = [(i, " ".join(pick.choice(words) for _ in range(pick.randint(0, 12)))) for i in range(60)] + [(60, None), (61, "")]
+    quotes = [(900, None), (901, " "), (902, "zz zz zz zz zz zz")]
+    for i in range(150):
+        text = pages[pick.randrange(60)][1]
+        start = pick.randint(0, max(0, len(text) - 1))
+        quotes.append((i, text[start : start + pick.randint(0, 14)]))
+    got = V.quotes_on_pages(spark.createDataFrame(pages, "page_id int, text string"), spark.createDataFrame(quotes, "quote_id int, quote string"))
+    want = [(p, q, text.find(quote)) for p, text in pages if text for q, quote in quotes if quote and quote.strip() and quote in text]
+    assert rows(got, "page_id", "quote_id") == sorted(want)
+
+
+def test_dashes_joined_only_once(spark):
+    pages = spark.createDataFrame([(1, 1, "INCOME– tax rose")], "document_id int, page int, text string")
+    facts = spark.createDataFrame([(1, 1, "income– tax", None, None, None, None)], "document_id int, page int, quote string, value double, type string, unit string, period string")
+    got = V.verify_facts(facts, pages).first()
+    assert got.verified and not got.exact_match
+
+
 def test_type_inference_and_limits(spark):
     df = spark.createDataFrame([("$45,000,000", "15.5%", "2024-01-15", "12345", "Ward 1", "¥5"), ("n/a", "", "2024/2/3", "-2", "x", "6"), ("$1", "1%", "2024-12-31", "null", "3", "¥7")], "a string, b string, c string, d string, e string, f string")
     assert dict(rows(tab.infer_types(df))) == {"a": "currency", "b": "percentage", "c": "date", "d": "number", "e": "string", "f": "string"}
