@@ -19,6 +19,7 @@ MODULES = (
     "factloom.operators.fulltext_queries",
     "factloom.operators.vector_queries",
     "factloom.sources.versioned_queries",
+    "factloom.streaming.queue_queries",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

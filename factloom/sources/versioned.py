@@ -108,11 +108,14 @@ class VersionedTable:
         rows = rows.withColumn(DELETED, F.when(single, F.lit(False)).otherwise(F.raise_error(F.lit(f"repeated {key}")).cast("boolean")))
         return self._commit(Manifest(m.version, key, m.schema, buckets, [self._write(rows, m)], []))
 
-    def merge(self, changes: DataFrame, deleted: Column | None = None, order: str | None = None) -> int:
+    def merge(self, changes: DataFrame, deleted: Column | None = None, order: str | None = None, onto: int | None = None) -> int:
         """Inserts rows of new keys, replaces those of known keys, and removes keys whose change is `deleted` (a
         condition on the changes). A key with several changes takes the one of greatest `order`; without `order` that is
-        an error, as in SQL MERGE."""
+        an error, as in SQL MERGE. With `onto` the merge is made on top of that version only, for changes computed from
+        its rows; if there is a newer one, it is a conflict."""
         version = self._next()  # before the manifest is read: what another writer commits from here on makes this one fail
+        if onto is not None and version != onto + 1:
+            raise VersionConflict(f"{self.path} has moved on from version {onto}")
         old = self.manifest()
         m = Manifest(version, old.key, old.schema, old.buckets)
         columns = StructType.fromJson(json.loads(old.schema)).names
