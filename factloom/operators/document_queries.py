@@ -49,18 +49,19 @@ def quote_search(spark, sf_dir):
 _SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
-# Planted openings of a page by doc_id % 10: a heading number, a year, a page number, grouped values, a period.
+# Planted openings of a page by case: a heading number, a year, a page number, grouped values, a period.
 _OPENINGS = {1: "9. ", 6: "Report of march 2024. ", 7: "See page 1 for totals. ", 8: "Total Rs. 12,34,567 crore. ", 9: "FY 2026–27 outlay: "}
 
 
 def _proposals(spark, sf_dir):
     """Proposed facts over documents as pages: a stretch of the page as quote (or a stranger's), with a planted value."""
     docs = table(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 10
+    d = F.col("doc_id")
+    k = F.when((d % 5 == 0) & (d % 6 != 0), 6 + d % 4).otherwise(d % 6)
     opening = F.lit("")
     for digit, words in _OPENINGS.items():
         opening = F.when(k == digit, words).otherwise(opening)
-    opening = F.when(F.col("doc_id") % 20 == 18, "Total Rs. 1,234,567 crore. ").otherwise(opening)
+    opening = F.when((k == 8) & (d % 8 == 6), "Total Rs. 1,234,567 crore. ").otherwise(opening)
     text = F.concat(opening, F.col("text"))
     quote = (
         F.when(k == 0, F.substring("text", 11, 40))
@@ -74,18 +75,19 @@ def _proposals(spark, sf_dir):
         .when(k == 8, F.substring(text, 1, 20))
         .otherwise(F.concat(F.lit("outlay: "), F.substring("text", 1, 20)))
     )
-    page = F.when(F.col("doc_id") % 11 == 0, 2).otherwise(1)
+    page = F.when(d % 11 == 0, 2).otherwise(1)
     value = F.when(k == 1, 9.0).when(k == 3, 77123.0).when(k == 6, 2024.0).when(k == 7, 1.0).when(k == 8, 1234567.0)
     facts = docs.select(
         F.col("doc_id").alias("document_id"), page.alias("page"), quote.alias("quote"), value.cast("double").alias("value"),
-        F.when(k.isin(4, 8), "allocation").otherwise("statistic").alias("type"), F.when((k == 8) | (F.col("doc_id") % 20 == 4), "crore").alias("unit"),
+        F.when(k.isin(4, 8), "allocation").otherwise("statistic").alias("type"), F.when((k == 8) | (d % 12 == 4), "crore").alias("unit"),
         F.when(k.isin(5, 9), "2026-27").alias("period"),
     )
     return facts, docs.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), text.alias("text"))
 
 
-_CHAIN = """WITH p AS (SELECT doc_id, doc_id % 10 AS k, CASE WHEN doc_id % 20 = 18 THEN 'Total Rs. 1,234,567 crore. ' ELSE CASE doc_id % 10 WHEN 1 THEN '9. ' WHEN 6 THEN 'Report of march 2024. '
-  WHEN 7 THEN 'See page 1 for totals. ' WHEN 8 THEN 'Total Rs. 12,34,567 crore. ' WHEN 9 THEN 'FY 2026–27 outlay: ' ELSE '' END END || text AS page_text, text FROM documents),
+_CHAIN = """WITH b AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 AND doc_id % 6 <> 0 THEN 6 + doc_id % 4 ELSE doc_id % 6 END AS k FROM documents),
+p AS (SELECT doc_id, k, CASE WHEN k = 8 AND doc_id % 8 = 6 THEN 'Total Rs. 1,234,567 crore. ' ELSE CASE k WHEN 1 THEN '9. ' WHEN 6 THEN 'Report of march 2024. '
+  WHEN 7 THEN 'See page 1 for totals. ' WHEN 8 THEN 'Total Rs. 12,34,567 crore. ' WHEN 9 THEN 'FY 2026–27 outlay: ' ELSE '' END END || text AS page_text, text FROM b),
 f AS (SELECT *, CASE k WHEN 0 THEN substr(text, 11, 40) WHEN 1 THEN '9. ' || substr(text, 1, 30) WHEN 2 THEN translate(substr(text, 5, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 3 THEN substr(text, 3, 30)
   WHEN 4 THEN substr(text, 1, 50) WHEN 5 THEN substr(text, 20, 20) WHEN 6 THEN 'of march 2024' WHEN 7 THEN 'See page 1 for' WHEN 8 THEN substr(page_text, 1, 20) ELSE 'outlay: ' || substr(text, 1, 20) END AS quote FROM p),
 v AS (SELECT doc_id AS document_id, CASE
@@ -95,7 +97,7 @@ v AS (SELECT doc_id AS document_id, CASE
   WHEN k = 1 THEN 'HEADING_NUMBER'
   WHEN k = 7 THEN 'PAGE_OR_ID_NUMBER'
   WHEN k = 3 AND NOT contains(quote, '77123') OR k = 8 AND NOT contains(replace(quote, ',', ''), '1234567') THEN 'VALUE_NOT_IN_QUOTE'
-  WHEN k = 4 AND doc_id % 20 <> 4 THEN 'MISSING_REQUIRED_UNIT'
+  WHEN k = 4 AND doc_id % 12 <> 4 THEN 'MISSING_REQUIRED_UNIT'
   WHEN k IN (4, 8) AND NOT (contains(lower(quote), 'cr') OR contains(lower(quote), 'rs') OR contains(lower(quote), 'inr')) THEN 'UNIT_NOT_IN_QUOTE'
   WHEN k = 5 AND NOT contains(page_text, '2026-27') THEN 'PERIOD_NOT_IN_QUOTE' END AS fail_reason FROM f)
 """.format(pc=_CANON.format("page_text"), qc=_CANON.format("quote"))
