@@ -82,8 +82,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The SentencePiece ids of every document, their digest, and whether decoding gave the text back."""
-    return encode_and_check(docs, vocabulary("piece_bpe_32k.model"), keep_ids=True)
+    """The SentencePiece ids of every document, their digest, and whether decoding gave the text back.
+    Workers keep no vocabulary between tasks, as they live on beside those of the other stages."""
+    return encode_and_check(docs, vocabulary("piece_bpe_32k.model"), keep_ids=True, lean=True)
 
 
 STAGES = [

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +52,15 @@ def bodies_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("body"))
 
 
+def give_back() -> None:
+    """Free memory that this process keeps for later goes back to the system, where the C library can do so: Python
+    workers live on between tasks, and an executor's memory has the idle ones in it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class KeyFilter:
     """A Bloom filter of bounded size over a key column, built by a distributed bit_or and held as one array.
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bodies_of, written
+from factloom.llm.common import bodies_of, give_back, written
 from factloom.llm.shingles import mix64, powers, random_words, small_batches
 
 BLANK = "▁"
@@ -441,8 +441,9 @@ def _encoded(path: str):
     return run
 
 
-def _giant_ids(rows: DataFrame, model: str, chunk_chars: int) -> DataFrame:
+def _giant_ids(rows: DataFrame, model: str, chunk_chars: int, lean: bool = False) -> DataFrame:
     """id, body and ids of giant texts (id, body) by the scan over their chunks."""
+    step = lambda make: _lean(make(model)) if lean else make(model)
     width, keys = vocabulary_of(model).longest, ["uid", "at"]
     giant = written(rows.withColumn("uid", F.monotonically_increasing_id()), "giant")
     chunks = giant.select("uid", "body").mapInArrow(_chunks(chunk_chars, width - 1), "uid long, at int, chunk string, size int")
@@ -450,10 +451,10 @@ def _giant_ids(rows: DataFrame, model: str, chunk_chars: int) -> DataFrame:
     most = chunks.agg(F.max("at")).first()[0]
     if most is None:
         return giant.select("id", "body", F.lit(b"").alias("ids"))
-    matrices = written(chunks.mapInArrow(_matrices(model), "uid long, at int, matrix binary"), "matrices")
+    matrices = written(chunks.mapInArrow(step(_matrices), "uid long, at int, matrix binary"), "matrices")
     entered = chunks.join(scan(matrices, width, most + 1), keys)
-    exits = entered.mapInArrow(_maps(model), "uid long, at int, back array<int>").groupBy("uid").applyInPandas(_bounds, "uid long, at int, exit int")
-    parts = entered.join(written(exits, "exits"), keys).mapInArrow(_traced(model), "uid long, at int, ids binary")
+    exits = entered.mapInArrow(step(_maps), "uid long, at int, back array<int>").groupBy("uid").applyInPandas(_bounds, "uid long, at int, exit int")
+    parts = entered.join(written(exits, "exits"), keys).mapInArrow(step(_traced), "uid long, at int, ids binary")
     whole = parts.repartition("uid").sortWithinPartitions(*keys).mapInArrow(_stitched, "uid long, ids binary")
     return giant.join(whole, "uid").select("id", "body", "ids")
 
@@ -507,7 +508,20 @@ def _report(v: Vocabulary, ids: pa.Array, texts: list[str], coded: list[bytes],
     )
 
 
-def _checked(path: str, keep_ids: bool):
+def _lean(run):
+    """`run`, after which the worker holds no vocabulary and no solved words."""
+
+    def once(batches):
+        try:
+            yield from run(batches)
+        finally:
+            vocabulary_of.cache_clear()
+            give_back()
+
+    return once
+
+
+def _checked(path: str, keep_ids: bool, lean: bool = False):
     """The report on each (id, body), encoded here, or (id, body, ids)."""
 
     def run(batches):
@@ -516,13 +530,15 @@ def _checked(path: str, keep_ids: bool):
             texts = b.column(1).to_pylist()
             yield _report(v, b.column(0), texts, b.column(2).to_pylist() if b.num_columns > 2 else v.encode(texts), keep_ids)
 
-    return run
+    return _lean(run) if lean else run
 
 
-def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS, lean: bool = False) -> DataFrame:
     """id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (whether the decoded ids are the
-    text) and, if asked for, the ids. Ordinary texts are encoded and decoded by one worker, so ids don't travel twice."""
+    text) and, if asked for, the ids. Ordinary texts are encoded and decoded by one worker, so ids don't travel twice.
+    With `lean` a worker drops the vocabulary and its solved words when its task ends, at the price of loading and solving
+    them again: for jobs in which other stages run in the same executors."""
     small, giant = _split(docs, id_col, text_col, giant_chars)
-    check = _checked(model, keep_ids)
-    out = small.mapInArrow(check, _REPORT).union(_giant_ids(giant, model, chunk_chars).mapInArrow(check, _REPORT))
+    check = _checked(model, keep_ids, lean)
+    out = small.mapInArrow(check, _REPORT).union(_giant_ids(giant, model, chunk_chars, lean).mapInArrow(check, _REPORT))
     return out.withColumnRenamed("id", id_col).select(id_col, "n_ids", "ids_crc32", "round_trip", *(["ids"] if keep_ids else []))

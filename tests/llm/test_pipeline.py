@@ -1,12 +1,15 @@
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from factloom.llm import sentencepiece_scan
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import mix
 from factloom.llm.quality import quality_scores
+from factloom.llm.queries import vocabulary
 from factloom.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -76,3 +79,25 @@ def test_stages_match_their_operators(spark):
     assert ids(corpus_pipeline.exact_stage(spark, docs, SF)) == sorted(first.values())
     assert ids(corpus_pipeline.near_stage(spark, docs, SF)) == ids(near_duplicates(docs, k=5, percent=80).filter("kept"))
     assert ids(corpus_pipeline.mixing_stage(spark, docs, SF)) == ids(mix(docs).filter("selected"))
+
+
+def test_encoding_leaves_nothing_in_workers(spark, monkeypatch):
+    """No worker function of the stage leaves a vocabulary behind, those of giant texts included."""
+    whole = type(spark.range(1)).mapInArrow
+
+    def watched(df, func, *args, **more):
+        def run(batches):
+            sentencepiece_scan.vocabulary_of.cache_clear()  # what other tests left
+            yield from func(batches)
+            if sentencepiece_scan.vocabulary_of.cache_info().currsize:
+                raise RuntimeError("a vocabulary is left")
+
+        return whole(df, run, *args, **more)
+
+    rows = [(i, f"some words of text {i}") for i in range(20)] + [(-1, "so much giant text " * 8000), (-2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    got = corpus_pipeline.encoding_stage(spark, docs, SF).collect()
+    monkeypatch.undo()
+    kept = sentencepiece_scan.encode_and_check(docs, vocabulary("piece_bpe_32k.model"), keep_ids=True).collect()
+    assert sorted(got) == sorted(kept) and len(got) == 22 and all(r["round_trip"] for r in got)
