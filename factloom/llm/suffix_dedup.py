@@ -3,7 +3,8 @@
 Every byte covered by a `length`-byte string that also starts elsewhere is removed. Equal strings must meet in
 one task without shipping every suffix: a string's anchor is the smallest hash among its `gram`-byte grams, so
 equal strings share it, and the starts that share the place of their anchor form short runs (segments). One pass counts the
-anchors; only segments whose anchor occurs more than once are then dealt by anchor:
+anchors; segments whose anchor may occur more than once then meet the anchors' kinds in a shuffle, without their bytes,
+and only those whose anchor does occur more than once are decided, by the kind of their anchor:
   - all segments of the anchor are one byte string: they are collapsed to one with its multiplicity, which
     decides them;
   - otherwise the segments are suffix-sorted: multikey quicksort over eight-byte symbols to a shallow depth,
@@ -12,8 +13,8 @@ anchors; only segments whose anchor occurs more than once are then dealt by anch
     their strings are counted with map-side sums under a 128-bit BLAKE2b digest of their bytes.
 Bytes are compared, or their BLAKE2b digests; the rolling polynomial hash only chooses anchors, where a collision
 makes strings meet that differ, and nothing else. Two different strings share a digest with a chance of 2^-128.
-Anchors are routed by Bloom filters whose size is bounded; each route decides from scratch, so a filter's false
-positives cost time only.
+One Bloom filter of bounded size holds places of single anchors back from that shuffle; the shuffle decides, so false
+positives cost time only, and what driver and workers hold does not grow with the corpus.
 
 Defined cases: a null text counts as empty; texts shorter than `length` lose nothing; matches never cross
 documents; rows that repeat id and text count as separate places; a null id is allowed; overlaps within one
@@ -33,6 +34,8 @@ from factloom.llm.common import KeyFilter, bodies_of, written
 from factloom.llm.shingles import mix64, powers, random_words, utf8
 
 LENGTH, GRAM, CROWD = 200, 100, 20_000
+#: Bits at most of the filter of repeated anchors: 8 MB on the driver and in each worker, whatever the input.
+MOST_BITS = 1 << 26
 SHALLOW_WORDS = 4
 BLOCK_BYTES = 2 << 20
 _BASE = 0xA0761D6478BD642F
@@ -111,39 +114,60 @@ def _anchors(length: int, gram: int):
     return run
 
 
-_ROUTED = "route int, anchor long, id long, h long, start int, run int, body binary, prints array<binary>"
+_PLACED = "anchor long, id long, h long, start int, run int"
+
 
+def _placed(length: int, gram: int, repeated):
+    """The segments whose anchor passes the filter, without their bytes."""
 
-def _routed(length: int, gram: int, crowded, mixed, uniform):
     def run(batches):
         for b in _by_bytes(batches):
             ids, h = b.column(0), b.column(1)
             data, offsets = utf8(b.column(2))
-            for block, lo, of, at, runs, anchor in segments(data, offsets, length, gram):
-                route = np.where(crowded(anchor), 3, np.where(mixed(anchor), 2, np.where(uniform(anchor), 1, 0)))
-                for k in range(0, len(at), 65536):
-                    keep = k + np.flatnonzero(route[k : k + 65536])
-                    if not len(keep):
-                        continue
-                    bodies, prints = [None] * len(keep), [None] * len(keep)
-                    for j, i in enumerate(keep.tolist()):
-                        s, n = int(at[i]), int(runs[i])
-                        if route[i] == 2:
-                            bodies[j] = data[s : s + n + length - 1].tobytes()
-                        elif route[i] == 3:
-                            p = np.arange(s - lo, s - lo + n)
-                            prints[j] = block.digests(p, p + length)
+            for _, _, of, at, runs, anchor in segments(data, offsets, length, gram):
+                kept = np.flatnonzero(repeated(anchor))
+                for k in range(0, len(kept), 65536):
+                    keep = kept[k : k + 65536]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(route[keep].astype(np.int32)), pa.array(anchor[keep].view(np.int64)), ids.take(pa.array(of[keep])), h.take(pa.array(of[keep])),
-                            pa.array((at - offsets[of])[keep].astype(np.int32)), pa.array(runs[keep].astype(np.int32)), pa.array(bodies, pa.binary()), pa.array(prints, pa.list_(pa.binary())),
+                            pa.array(anchor[keep].view(np.int64)), ids.take(pa.array(of[keep])), h.take(pa.array(of[keep])),
+                            pa.array((at - offsets[of])[keep].astype(np.int32)), pa.array(runs[keep].astype(np.int32)),
                         ],
-                        ["route", "anchor", "id", "h", "start", "run", "body", "prints"],
+                        ["anchor", "id", "h", "start", "run"],
                     )
 
     return run
 
 
+_ROUTED = "route int, anchor long, id long, h long, start int, run int, body binary, prints array<binary>"
+_FIELDS = ("route", "anchor", "id", "h", "start", "run", "body", "prints")
+
+
+def _routed(length: int, size: int = BLOCK_BYTES):
+    """The segments that each text is asked for (id, h, body, asked), with their bytes or the digests of their strings."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
+    full = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(_FIELDS))
+
+    def run(batches):
+        rows, held = [], 0
+        for b in batches:
+            for id_, h, body, asked in zip(*b.columns, strict=True):
+                raw = body.as_py().encode("utf-8")
+                for x in asked.as_py():
+                    s, n = x["start"], x["run"]
+                    whole = raw[s : s + n + length - 1] if x["route"] == 2 else None
+                    prints = [hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in range(s, s + n)] if x["route"] == 3 else None
+                    rows.append((x["route"], x["anchor"], id_.as_py(), h.as_py(), s, n, whole, prints))
+                    held += n + length
+                    if held >= size:
+                        yield full(rows)
+                        rows, held = [], 0
+        if rows:
+            yield full(rows)
+
+    return run
+
+
 # --- deep-shallow sorting ---------------------------------------------------------
 
 
@@ -309,7 +333,7 @@ def _cut(batches):
 
 
 def _filter_bits(n: int) -> int:
-    return 1 << min(30, max(16, (16 * max(1, n) - 1).bit_length()))
+    return min(MOST_BITS, 1 << max(16, (16 * max(1, n) - 1).bit_length()))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,12 +343,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("head", "tail") for f in (F.min, F.max)]
     counted = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1")
     kinds = written(counted.select("anchor", F.when(F.expr("min_head = max_head and min_tail = max_tail"), 1).when(F.col("n") > crowd, 3).otherwise(2).alias("route")), "anchors")
-    sizes = {r["route"]: r["count"] for r in kinds.groupBy("route").count().collect()}
-    probes = [KeyFilter(kinds.filter(F.col("route") == r), "anchor", _filter_bits(sizes.get(r, 0)), hashed=True).prober() for r in (3, 2, 1)]
-    routed = written(rows.mapInArrow(_routed(length, gram, *probes), _ROUTED), "segments")
-
-    same = kinds.filter("route = 1").select("anchor")
-    uniform = routed.filter("route = 1").select("anchor", "id", "h", "start", "run").join(same, "anchor").select("id", "h", F.col("start").alias("lo"), (F.col("start") + F.col("run") - 1 + length).alias("hi"))
+    repeated = KeyFilter(kinds, "anchor", _filter_bits(kinds.count()), hashed=True).prober()
+    placed = rows.mapInArrow(_placed(length, gram, repeated), _PLACED)
+    met = written(placed.join(kinds.hint("merge"), "anchor"), "places")
+
+    uniform = met.filter("route = 1").select("id", "h", F.col("start").alias("lo"), (F.col("start") + F.col("run") - 1 + length).alias("hi"))
+    open_ = met.filter("route > 1")
+    asked = open_.groupBy(F.col("id").alias("aid"), F.col("h").alias("ah")).agg(F.collect_set(F.struct("start", "run", "anchor", "route")).alias("asked"))
+    texts = rows.filter(KeyFilter(open_.select("h").distinct(), "h").may_contain(F.col("h")))
+    texts = texts.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("aid")) & (F.col("h") == F.col("ah"))).select("id", "h", "body", "asked")
+    routed = written(texts.mapInArrow(_routed(length), _ROUTED), "segments")
     mixed = routed.filter("route = 2").select("anchor", "id", "h", "start", "run", "body").repartition("anchor").sortWithinPartitions("anchor")
     mixed = mixed.mapInArrow(_sorted(length), "id long, h long, lo int, hi int")
     places = routed.filter("route = 3").select("anchor", "id", "h", "start", F.posexplode("prints").alias("at", "print"))

@@ -55,6 +55,19 @@ def test_strings_with_the_same_polynomial_hash_stay(spark, crowd):
     assert sorted((tuple(r)[:5] for r in got), key=str) == removed(rows, 256) and not any(r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("crowd", [20_000, 3])
+def test_repeats_behind_a_full_filter(spark, monkeypatch, crowd):
+    assert sd._filter_bits(10**12) <= 1 << 27  # what driver and workers hold stays the same at any size
+    monkeypatch.setattr(sd, "MOST_BITS", 64)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcé \n") for _ in range(n))
+    passage = noise(80)
+    rows = [(i, noise(rng.randrange(300)) + passage[rng.randrange(30) :] + noise(30)) for i in range(8)]
+    rows += [(8, rows[2][1]), (8, rows[2][1]), (9, None), (None, "ab" * 90)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40, gram=16, crowd=crowd).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == removed(rows, 40)
+
+
 def test_repeats_of_nothing(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
