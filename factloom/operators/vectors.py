@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.session import fresh_dir
+
 # Fixed value of the search contract: the results shown.
 TOP = 8
 #: Vectors of a block and queries of a block: what one task compares at once.
@@ -34,10 +36,11 @@ def _rows(df: DataFrame, key: str, embedding: str, document: str | None) -> Data
     return df.filter(fit(F.col(embedding))).select(doc.alias("doc"), F.col(key).alias("k"), F.col(embedding).cast("array<double>").alias("v"))
 
 
-def _dealt(rows: DataFrame, size: int) -> DataFrame:
-    """The rows with `blocks`, the number of blocks of their document, and `own`, theirs, by a hash of the key."""
-    counts = rows.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
-    return rows.join(counts, "doc").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, read back: what follows plans a scan instead of all that made it."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
@@ -75,11 +78,12 @@ def _ranked(found: DataFrame, top: int) -> DataFrame:
 
 def _met(chunks: DataFrame, asked: DataFrame, top: int, block: int, query_block: int) -> DataFrame:
     """(q, k, similarity): the best of each query in each block of its document, from (doc, k, v) and (doc, q, v)."""
-    c, q = _dealt(chunks, block), _dealt(asked.withColumnRenamed("q", "k"), query_block).withColumnRenamed("k", "q")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    c_blocks, q_blocks = (x.select("doc", "blocks").distinct() for x in (c, q))
-    c = c.join(q_blocks.withColumnRenamed("blocks", "others"), "doc").select("doc", F.col("own").alias("cb"), every(F.col("others")).alias("qb"), "k", "v")
-    q = q.join(c_blocks.withColumnRenamed("blocks", "others"), "doc").select("doc", F.col("own").alias("qb"), every(F.col("others")).alias("cb"), "q", "v")
+    blocks = lambda rows, size, name: rows.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = blocks(chunks, block, "cbs").join(blocks(asked, query_block, "qbs"), "doc")
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    c = chunks.join(sizes, "doc").select("doc", own("k", "cbs").alias("cb"), every("qbs").alias("qb"), "k", "v")
+    q = asked.join(sizes, "doc").select("doc", own("q", "qbs").alias("qb"), every("cbs").alias("cb"), "q", "v")
     kinds = {f.name: f.dataType.simpleString() for f in (*c.schema, *q.schema)}
     pair = ["doc", "qb", "cb"]
     return c.groupBy(*pair).cogroup(q.groupBy(*pair)).applyInArrow(_best_of_block(top), f"q {kinds['q']}, k {kinds['k']}, similarity double")
@@ -181,16 +185,18 @@ class Cells:
     def top(self, queries: DataFrame, query_key: str, embedding: str = "embedding", probes: int = 8, top: int = TOP, exact: bool = False, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
         """(query_key, key, similarity, place) of each query from its `probes` nearest cells; only folders of probed
         cells are read. With `exact`, every other cell that its centre and greatest angle do not rule out is looked
-        into too, so the answer is that of `top_many`."""
+        into too, so the answer is that of `top_many`. What is looked up where, and the first answer, are written to the
+        shared folder, so that the plan of a step does not repeat those before it."""
         q = _rows(queries, query_key, embedding, None).select(F.col("k").alias("q"), "v")
         if not len(self):
             none = self.vectors.select(F.lit(None).cast(dict(q.dtypes)["q"]).alias("q"), "k", F.lit(0.0).alias("similarity")).limit(0)
             return _ranked(none, top).select(F.col("q").alias(query_key), F.col("k").alias(self.key), "similarity", "place")
-        found = _ranked(self._looked_up(self._probed(q, probes, False), top, block, query_block), top)
+        found = _ranked(self._looked_up(_kept(self._probed(q, probes, False), "probed"), top, block, query_block), top)
         if exact:
+            found = _kept(found, "found")
             least = found.groupBy("q").agg(F.min(F.when(F.col("place") == top, F.col("similarity"))).alias("least"))
             rest = q.join(least, "q", "left").select("q", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
-            more = self._looked_up(self._probed(rest, probes, True), top, block, query_block)
+            more = self._looked_up(_kept(self._probed(rest, probes, True), "probed"), top, block, query_block)
             found = _ranked(found.drop("place").unionByName(more), top)
         return found.select(F.col("q").alias(query_key), F.col("k").alias(self.key), "similarity", "place")
 

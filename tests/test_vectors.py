@@ -58,6 +58,11 @@ def test_exact_cells_match_brute_force(spark, rows, index):
     assert answers(got) == plain_top(rows, asked, 4)
 
 
+def test_a_step_of_exact_cells_plans_nothing_that_was_done_before(spark, rows, index):
+    got = index.top(frame(spark, rows[::20], "query_id"), "query_id", probes=1, exact=True)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("CoGroup") == 1
+
+
 def test_probed_cells_reach_the_recall_and_are_all_that_is_read(spark, rows, index):
     asked = frame(spark, rows[::20], "query_id")
     probes, got = V.tuned_probes(index, asked, "query_id")
