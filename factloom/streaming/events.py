@@ -29,8 +29,9 @@ def status_of(stage):
 
 
 def merge_monotonic(events: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """The events that raised their document's sequence when they arrived, with status."""
-    before = Window.partitionBy("document_id").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    """The events that raised their document's sequence when they arrived, with status. Of events that arrived at once,
+    the smaller event_id comes first, as in the stream."""
+    before = Window.partitionBy("document_id").orderBy(arrival, "event_id").rowsBetween(Window.unboundedPreceding, -1)
     top = F.max("sequence").over(before)
     return events.withColumn("_top", top).filter(F.col("_top").isNull() | (F.col("sequence") > F.col("_top"))).drop("_top").withColumn("status", status_of(F.col("stage")))
 

@@ -25,3 +25,9 @@ def test_state_recovery_and_queue(spark):
     assert E.recover(df.filter("arrival < 3"), df).count() == 6
     jobs = spark.createDataFrame([(1, "queued", 3, 1), (2, "queued", 0, 3), (3, "done", 0, 0), (4, "queued", 1, 2)], "job_id int, status string, attempts int, created_at int")
     assert E.next_job(jobs).first().job_id == 4
+
+
+def test_events_that_arrive_at_once_come_by_id(spark):
+    rows = [(i, 1, "chunking", 30, i, 5) for i in (4, 2, 5, 1, 3)] + [(9, 1, "done", 100, 9, 6), (10, 1, "done", 100, 8, 6)]
+    for dealt in (rows, rows[::-1]):
+        assert sorted(r.event_id for r in E.merge_monotonic(spark.createDataFrame(dealt, SCHEMA)).collect()) == [1, 2, 3, 4, 5, 9]
