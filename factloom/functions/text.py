@@ -59,7 +59,9 @@ def verification_form(c: Column) -> Column:
 
 
 def find_quote(page: Column, quote: Column, forms: tuple[Column, Column, Column, Column] | None = None) -> Column:
-    """STRUCT(matched, exact, tier, start, stop): verbatim, then canonical, then verification form; indexes from 0, -1 for none.
+    """STRUCT(matched, exact, tier, start, stop): verbatim, then canonical, then verification form, then canonical in lower case;
+    indexes from 0, -1 for none. The last finds quotes cut within a word, whose first or last letters read as a scale word
+    (a lone l as lakh) where the page has none.
 
     `forms` are the canonical page and quote and their verification forms, where the caller has them as columns.
     """
@@ -67,7 +69,7 @@ def find_quote(page: Column, quote: Column, forms: tuple[Column, Column, Column,
     filled = (F.length(F.coalesce(page, F.lit(""))) > 0) & (F.length(F.coalesce(quote, F.lit(""))) > 0)
     found = [
         F.when(filled & (F.instr(p, q) > 0), F.struct(F.lit(True).alias("matched"), F.lit(name == "exact").alias("exact"), F.lit(name).alias("tier"), (F.instr(p, q) - 1).alias("start"), (F.instr(p, q) - 1 + F.length(q)).alias("stop")))
-        for name, p, q in (("exact", page, quote), ("canonical", cp, cq), ("verification", vp, vq))
+        for name, p, q in (("exact", page, quote), ("canonical", cp, cq), ("verification", vp, vq), ("lower", F.lower(cp), F.lower(cq)))
     ]
     none = F.struct(F.lit(False).alias("matched"), F.lit(False).alias("exact"), F.lit(None).cast("string").alias("tier"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
     return F.coalesce(*found, none)

@@ -109,7 +109,7 @@ def verify_facts(facts: DataFrame, pages: DataFrame, check_units: bool = True) -
     forms = (F.col("_cp"), F.col("_cq"), F.col("_vp"), F.col("_vq"))
     joined = joined.withColumn("_q", X.find_quote(F.col("page_text"), F.col("quote"), forms))
     tier = F.col("_q.tier")
-    form = lambda *c: F.when(tier == "exact", c[0]).when(tier == "canonical", c[1]).otherwise(c[2])
+    form = lambda *c: F.when(tier == "exact", c[0]).when(tier == "canonical", c[1]).when(tier == "lower", F.lower(c[1])).otherwise(c[2])
     joined = joined.withColumns({"_nq": form(F.col("quote"), F.col("_cq"), F.col("_vq")), "_np": form(F.col("page_text"), F.col("_cp"), F.col("_vp"))})
     v, q = F.col("value"), F.col("quote")
     finite = v.isNotNull() & ~F.isnan(v)

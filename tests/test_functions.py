@@ -34,6 +34,13 @@ def test_find_quote_tiers(spark):
         assert (got.tier, got.start, got.matched) == (tier, start, tier is not None)
 
 
+def test_quotes_cut_within_a_word_are_found(spark):
+    page = "Annual  grants of 5 crore for the macr\u00f3 plan"
+    for quote, tier in (("L GRANTS", "lower"), ("ANNUAL GRANTS", "verification"), ("L GRANTZ", None)):
+        got = value(spark, X.find_quote(F.lit(page), F.lit(quote)))
+        assert (got.tier, got.matched, got.exact) == (tier, tier is not None, False)
+
+
 def test_tokens_and_overlap(spark):
     assert value(spark, X.tokens(F.lit("The cat, sat ON it!"))) == ["the", "cat", "sat"]
     assert value(spark, X.token_overlap(F.lit("the cat ran"), F.lit("a cat; the dog"))) == pytest.approx(2 / 3)

@@ -59,6 +59,17 @@ def test_verification_reads_all_languages_and_lengths(spark, tmp_path):
     assert set(forms) == set(want) and forms[6] == forms[12] == forms[18] and forms[36] is None
 
 
+def cut_quotes(spark, tmp_path):
+    """Pages whose proposed quote begins or ends in a word, and one without text."""
+    body = " ".join(f"wort{i}" for i in range(40))
+    rows = [(2, "en", "El El El El " * 9), (8, "en", body), (14, "fr", "abcd" + body[:35] + " au\u00e9l" + body), (20, "en", None)]
+    return given(spark, tmp_path, documents=(rows, "doc_id long, lang string, text string"))
+
+
+def test_quotes_cut_within_a_word_are_counted(spark, tmp_path):
+    assert run(spark, "fail_reason_histogram", cut_quotes(spark, tmp_path)) == [("PAGE_TEXT_MISSING", 1), ("VERIFIED", 3)]
+
+
 def test_quote_samples_match_brute_force(spark, tmp_path):
     a, b, c = "A heading with: a colon in it", "A line that ends in a full stop.", "Some words that run on well-known"
     d, e = "into the next line with 12 words", "and \u201cone more\u201d that nothing follows"
