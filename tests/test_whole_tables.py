@@ -70,6 +70,10 @@ def test_quotes_cut_within_a_word_are_counted(spark, tmp_path):
     assert run(spark, "fail_reason_histogram", cut_quotes(spark, tmp_path)) == [("PAGE_TEXT_MISSING", 1), ("VERIFIED", 3)]
 
 
+def test_ingest_publishes_quotes_cut_within_a_word(spark, tmp_path):
+    assert dict(run(spark, "ingest_counts", cut_quotes(spark, tmp_path)))["published"] == 3
+
+
 def test_quote_samples_match_brute_force(spark, tmp_path):
     a, b, c = "A heading with: a colon in it", "A line that ends in a full stop.", "Some words that run on well-known"
     d, e = "into the next line with 12 words", "and \u201cone more\u201d that nothing follows"
