@@ -78,6 +78,10 @@ def test_rate_counts_quotes_cut_within_a_word(spark, tmp_path):
     assert run(spark, "verification_rate", cut_quotes(spark, tmp_path)) == [(4, 3, 0.75)]
 
 
+def test_quotes_cut_within_a_word_are_verified(spark, tmp_path):
+    assert run(spark, "verify_facts_chain", cut_quotes(spark, tmp_path))[:3] == [(i, True, None, "VERIFIED") for i in (2, 8, 14)]
+
+
 def test_quote_samples_match_brute_force(spark, tmp_path):
     a, b, c = "A heading with: a colon in it", "A line that ends in a full stop.", "Some words that run on well-known"
     d, e = "into the next line with 12 words", "and \u201cone more\u201d that nothing follows"
