@@ -195,6 +195,14 @@ def test_places(spark):
     assert got == {1: ("ambiguous", None), 2: ("exact", "b"), 3: ("ambiguous", None), 4: ("exact", "a"), 5: ("not_found", None), 6: ("not_found", None)}
 
 
+def test_records_that_ask_the_same_meet_places_once(spark):
+    gaz = spark.range(300).selectExpr("id AS place_id", "'Goa' AS name", "id % 3 AS parent_code", "'X' AS country_code", "array(concat('alias ', id)) AS aliases")
+    recs = spark.range(400).selectExpr("id AS record_id", "if(id % 2 = 0, 'goa', concat('ALIAS ', id)) AS name", "id % 4 AS parent", "cast(null AS string) AS country")
+    assert P.candidates(recs, gaz).count() == 100 + 100 + 150  # goa of parents 0 and 2, each alias once
+    counts = {r.part: r.n for r in P.partition_sizes(P.lookup_places(recs, gaz)).collect()}
+    assert counts == {"matched": 150, "ambiguous": 200, "unmatched": 50} == {k: df.count() for k, df in P.partition_places(P.lookup_places(recs, gaz)).items()}
+
+
 def test_reading_order_reads_columns(spark):
     items = [(1, 1, i, f"L{i}", 50.0, 700.0 - 20 * i, 100.0) for i in range(6)] + [(1, 1, 10 + i, f"R{i}", 400.0, 700.0 - 20 * i, 100.0) for i in range(6)]
     df = spark.createDataFrame(items, "document_id int, page int, seq int, str string, x double, y double, width double")
