@@ -203,6 +203,15 @@ def test_records_that_ask_the_same_meet_places_once(spark):
     assert counts == {"matched": 150, "ambiguous": 200, "unmatched": 50} == {k: df.count() for k, df in P.partition_places(P.lookup_places(recs, gaz)).items()}
 
 
+def test_lookup_answers_every_record_of_a_question(spark):
+    gaz = spark.createDataFrame([(1, "Goa", 5, "IN", ["A"]), (1, "Goa", 6, "IN", ["A"]), (2, "goa", None, "PT", None), (3, "b", 3, "IN", ["a"])], "place_id long, name string, parent_code long, country_code string, aliases array<string>")
+    asked = [("GOA", 5, None), ("goa", 5, None), ("Goa", None, None), ("goa.", None, "PT"), ("a", 1, None), ("a", None, "PT"), ("a", 3, "IN"), ("", 5, "IN"), (None, None, None)] * 2
+    got = P.lookup_places(spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "record_id int, name string, parent long, country string"), gaz)
+    want = [("exact", 1, 1), ("exact", 1, 1), ("ambiguous", 2, None), ("exact", 1, 2), ("exact", 1, 1), ("ambiguous", 2, None), ("exact", 1, 3), ("not_found", 0, None), ("not_found", 0, None)] * 2
+    assert [tuple(r)[1:] for r in got.orderBy("record_id").collect()] == want
+    assert P.candidates(spark.createDataFrame([(i, "goa", None, None) for i in range(50)], "record_id int, name string, parent long, country string"), gaz).count() == 3
+
+
 def test_reading_order_reads_columns(spark):
     items = [(1, 1, i, f"L{i}", 50.0, 700.0 - 20 * i, 100.0) for i in range(6)] + [(1, 1, 10 + i, f"R{i}", 400.0, 700.0 - 20 * i, 100.0) for i in range(6)]
     df = spark.createDataFrame(items, "document_id int, page int, seq int, str string, x double, y double, width double")
