@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import fresh_dir
+from factloom.session import bound_batches, fresh_dir
 
 #: Bits of a fixed-size id filter: 8 MB whatever the input. A fuller filter only passes more rows on to the exact join behind it.
 FILTER_BITS = 1 << 26
 
 EDGES_A_FILE = 20_000
-#: Bytes of an Arrow batch of texts.
-BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,12 +38,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Unless the session sets its own bound, its Arrow batches hold BATCH_BYTES at most (or one row) from here on."""
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 def bodies_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, body) of documents, for Python workers, in bounded batches however long the texts are."""
     bound_batches(docs.sparkSession)

@@ -14,15 +14,20 @@ import re
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.stemming import EXCEPTIONS, STOP_WORDS, with_stems
+from factloom.session import bound_batches
 
 # Fixed values of the search contract: the weight of a word, the length from which a word is a keyword, the results shown.
 WEIGHT, KEYWORD_LENGTH, TOP = 0.1, 3, 8
 #: Folders of an index, and the texts whose occurrences of a word share a row.
 PARTS, BLOCK = 64, 4096
+#: Queries of a stem that share a row when many queries are asked.
+QUERIES = 1024
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -52,10 +57,33 @@ def query_terms(spark: SparkSession, text: str) -> Terms:
 
 
 def occurrences(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, word, positions) of every word that is no stop word, in order of place."""
+    """(key, word, positions) of every word that is no stop word, in order of place. A text's words are grouped where it is
+    read, so nothing is shuffled; texts that share a key keep their own rows."""
+    bound_batches(chunks.sparkSession)
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    each = chunks.select(key, F.posexplode(words).alias("at", "word")).filter(~F.col("word").isin(*STOP_WORDS))
-    return each.groupBy(key, "word").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
+    kind = chunks.schema[key].dataType.simpleString()
+    each = chunks.select(F.col(key).alias("key"), words.alias("words")).mapInArrow(_grouped, f"key {kind}, word string, positions array<int>")
+    return each.filter(~F.col("word").isin(*STOP_WORDS)).withColumnRenamed("key", key)
+
+
+def _grouped(batches, most: int = 1 << 20):
+    """The words of each row with their places, about `most` places a batch."""
+    for b in batches:
+        sizes = np.diff(b.column(1).offsets.to_numpy())
+        lo = 0
+        while lo < len(b):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[lo : lo + 4096]), most, "right")))
+            keys, words = b.column(0).slice(lo, n), b.column(1).slice(lo, n)
+            lo += n
+            coded = words.flatten().dictionary_encode()
+            code, row = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+            at = np.arange(len(code)) - np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))])[row] + 1
+            order = np.lexsort((at, code, row))
+            code, row, at = code[order], row[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else np.array([], dtype=np.int64)
+            ends = np.concatenate([first, [len(code)]]).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[first])), coded.dictionary.take(pa.array(code[first])), positions], names=["key", "word", "positions"])
 
 
 def _vocabulary(found: DataFrame) -> DataFrame:
@@ -142,10 +170,11 @@ def write_index(chunks: DataFrame, path: str, key: str, text: str = "text", part
     texts = chunks.count()
     blocks = max(1, -(-texts // block))
     rows = found.join(_vocabulary(found), "word").select(key, "stem", "positions", F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    lists = rows.groupBy("stem", "block").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "positions"))).alias("postings"))
     files = max(1, -(-blocks // 256))  # of a part
-    lists = lists.withColumn("part", _part(F.col("stem"), parts)).repartition("part", F.pmod("block", F.lit(files)))
-    lists.sortWithinPartitions("part", "stem", "block").write.partitionBy("part").parquet(f"{path}/postings")
+    rows = rows.withColumns({"part": _part(F.col("stem"), parts), "file": F.pmod("block", F.lit(files))}).repartition("part", "file")
+    own = F.struct(F.col(key).alias("key"), "positions")
+    lists = rows.groupBy("part", "file", "stem", "block").agg(F.array_sort(F.collect_list(own)).alias("postings"))  # in the places they were dealt to
+    lists.drop("file").sortWithinPartitions("part", "stem", "block").write.partitionBy("part").parquet(f"{path}/postings")
     meta = [(parts, key, chunks.schema[key].dataType.simpleString())]
     chunks.sparkSession.createDataFrame(meta, "parts int, key string, kind string").coalesce(1).write.parquet(f"{path}/meta")
 
@@ -178,14 +207,19 @@ def search_index(spark: SparkSession, path: str, query: str, keys: DataFrame | N
 def search_many(spark: SparkSession, path: str, queries: DataFrame, top: int = TOP) -> DataFrame:
     """(query_id, key, rank, place): the best texts by any-matching for a table of queries (query_id, text).
 
-    Queries meet the postings on (part, stem); Spark prunes the folders by the queries' parts at run time. Ranks are
-    summed before the shuffle, and the rank limit holds before it too.
+    Queries meet the postings on (part, stem); Spark prunes the folders by the queries' parts at run time. A text is in one
+    block, so each block's ranks are summed and cut to the best where the block was dealt, and only those are shuffled; the
+    queries of a stem are dealt to lists of about QUERIES.
     """
     postings, parts, key = _opened(spark, path)
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))), lambda w: w.rlike("^[a-z]{3,}$"))
     asked = queries.select("query_id", F.explode(words).alias("word")).filter(~F.col("word").isin(*STOP_WORDS))
     asked = asked.join(with_stems(asked.select("word").distinct()), "word").select("query_id", "stem", _part(F.col("stem"), parts).alias("part")).distinct()
-    met = postings.join(asked, ["part", "stem"]).select("query_id", F.explode("postings").alias("p"))
-    ranks = met.groupBy("query_id", F.col("p.key").alias(key)).agg((F.sum(F.size("p.positions")) * F.lit(WEIGHT)).alias("rank"))
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERIES))))
+    asked = asked.groupBy("part", "stem", dealt.alias("dealt")).agg(F.collect_list("query_id").alias("queries"))
+    counts = F.transform("postings", lambda p: F.struct(p["key"].alias("key"), F.size(p["positions"]).alias("n")))
+    met = postings.join(asked, ["part", "stem"]).select("block", "queries", counts.alias("texts")).repartition("block")
+    each = met.select("block", F.explode("queries").alias("query_id"), "texts").select("block", "query_id", F.inline("texts"))
+    ranks = each.groupBy("block", "query_id", F.col("key").alias(key)).agg((F.sum("n") * F.lit(WEIGHT)).alias("rank")).drop("block")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), key))
     return ranks.withColumn("place", place).filter(F.col("place") <= top)

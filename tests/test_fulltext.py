@@ -3,6 +3,7 @@ import re
 import shutil
 import zlib
 
+import pyarrow as pa
 import pytest
 from test_stemming import plain_stem
 
@@ -94,3 +95,11 @@ def test_an_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     T.write_index(none, str(tmp_path / "i"), "doc_id")
     assert T.search(none, "budget", "doc_id").count() == 0
+
+
+def test_pairs_of_queries_and_texts_are_not_shuffled(spark, tmp_path):
+    df = spark.createDataFrame([(i, "alpha beta " * (i % 3 + 1)) for i in range(40)], "id long, text string")
+    T.write_index(df, str(tmp_path / "i"), "id", block=8)
+    got = T.search_many(spark, str(tmp_path / "i"), spark.createDataFrame([(q, "alpha beta") for q in range(30)], "query_id long, text string"), top=2)
+    assert "hashpartitioning(query_id#" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "id#" in x.split("query_id#", 1)[-1])
+    assert sorted((r.query_id, r.id, round(r["rank"], 6), r.place) for r in got.collect()) == sorted((q, i, 0.6, p) for q in range(30) for p, i in ((1, 2), (2, 5)))
