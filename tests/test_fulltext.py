@@ -103,3 +103,10 @@ def test_pairs_of_queries_and_texts_are_not_shuffled(spark, tmp_path):
     got = T.search_many(spark, str(tmp_path / "i"), spark.createDataFrame([(q, "alpha beta") for q in range(30)], "query_id long, text string"), top=2)
     assert "hashpartitioning(query_id#" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "id#" in x.split("query_id#", 1)[-1])
     assert sorted((r.query_id, r.id, round(r["rank"], 6), r.place) for r in got.collect()) == sorted((q, i, 0.6, p) for q in range(30) for p, i in ((1, 2), (2, 5)))
+
+
+def test_occurrences_are_grouped_where_texts_are_read(spark):
+    df = spark.createDataFrame([(1, "Run ran run"), (1, "run"), (2, None)], "id long, text string")
+    found = T.occurrences(df, "id")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.word, list(r.positions)) for r in found.collect()) == [(1, "ran", [2]), (1, "run", [1]), (1, "run", [1, 3])]
