@@ -110,3 +110,12 @@ def test_occurrences_are_grouped_where_texts_are_read(spark):
     found = T.occurrences(df, "id")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.word, list(r.positions)) for r in found.collect()) == [(1, "ran", [2]), (1, "run", [1]), (1, "run", [1, 3])]
+
+
+def test_words_of_long_and_empty_texts_are_grouped_over_batches():
+    texts = [(1, ["b", "a", "b"]), (2, []), (3, ["é"] * 5), (4, ["a", "c"])]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts]), pa.array([w for _, w in texts], pa.list_(pa.string()))], names=["key", "words"])
+    for part in (batch, batch.slice(1)):
+        got = [tuple(r.values()) for most in (2, 1 << 20) for b in T._grouped([part], most) for r in b.to_pylist()]
+        want = [(k, w, [i + 1 for i, x in enumerate(ws) if x == w]) for k, ws in texts[batch.num_rows - part.num_rows :] for w in set(ws)]
+        assert sorted(got) == sorted(want * 2)
