@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from factloom.operators import views as W
@@ -55,3 +57,12 @@ def test_dossier_and_empty_tables(spark):
     assert got[1] == '{"document_id":1,"filename":"a.pdf","facts":1,"verified":1,"pending":0,"conflicts":0,"terms":0}' and '\\"c.pdf' in got[2]
     assert W.viewer_counts(facts.limit(0)).collect() == [] and W.proof_counts(facts).count() == len(W.PROOFS)
     assert W.facts_view(facts, "facts_for_test").count() == 1
+
+
+def test_embedding_entries_of_a_text_meet_once(spark):
+    texts = spark.createDataFrame([(i % 5, f"word{i} other word{i % 3} zebra") for i in range(20)], "id long, text string")
+    idf = spark.createDataFrame([("zebra", 1.5), ("other", 2.5)], "word string, idf double")
+    got = W.tfidf_embedding(texts, idf, "id")
+    assert not re.search(r"hashpartitioning\(id#\d+L, bucket", got._jdf.queryExecution().executedPlan().toString())
+    norms = got.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert len(norms) == 5 and all(abs(r.n - 1) < 1e-4 for r in norms)
